@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from linkwright.llm.jpeg import op3_jpeg_media_columns
+from linkwright.llm.lm import op8_subword_lattice_lm
 from linkwright.llm.packing import op10_best_fit_packing
 from linkwright.llm.sharding import op2_permutation_sharding
 from linkwright.llm.simhash import op6_simhash_anchor_cover
 from linkwright.llm.warc import SQL_OP7, op7_warc_index_first
 
-QUERIES = {f.__name__: f for f in (op2_permutation_sharding, op3_jpeg_media_columns, op6_simhash_anchor_cover, op7_warc_index_first, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_permutation_sharding, op3_jpeg_media_columns, op6_simhash_anchor_cover, op7_warc_index_first, op8_subword_lattice_lm, op10_best_fit_packing)}
 SQL: dict[str, str] = {"op7_warc_index_first": SQL_OP7}
