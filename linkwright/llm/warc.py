@@ -37,6 +37,8 @@ ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 8 << 20
 #: Unwanted bytes between two records that are read along rather than split the read.
 GAP_BYTES = 64 << 10
+#: Stored bytes that one reading task takes.
+TASK_BYTES = 64 << 20
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -181,7 +183,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                 start = end
 
-    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    wanted = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(run, schema)
 
 
