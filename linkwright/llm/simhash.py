@@ -64,14 +64,18 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash): the fingerprint as a signed long, and a hash that tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select("doc_id", "text", text_hash().alias("text_hash"))).mapInArrow(run, "doc_id long, fp long, text_hash long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 class Section:
@@ -138,7 +142,7 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, n_sections: int
 
 
 def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, n_sections: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs(doc_id, text)``; component_id is the smallest doc_id reachable."""
+    """(doc_id, fp, text_hash, component_id) for every row of ``docs(doc_id, text)``; component_id is the smallest doc_id reachable."""
     ready(docs.sparkSession)
     prints = materialise(fingerprints(docs, words), "simhash-prints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
@@ -147,7 +151,7 @@ def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DIST
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -155,11 +159,11 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those of a component other than its smallest id; of rows that share that id, one stays."""
+    """The documents whose id is the smallest of their component; of rows equal in id and text, one stays."""
     found = simhash_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(kept, once["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    once = docs.withColumn("_hash", text_hash()).dropDuplicates(["doc_id", "_hash"])
+    return once.join(kept, (F.col("_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").drop("_hash")
 
 
 def op6_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:

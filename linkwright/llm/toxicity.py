@@ -106,6 +106,22 @@ def score(docs: DataFrame, classifier, threshold: float) -> DataFrame:
     return spread(docs.select("doc_id", held_out().alias("held_out"), "text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep(docs: DataFrame, classifier, threshold: float, wanted: int) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are predicted ``wanted``."""
+    sent = docs.sparkSession.sparkContext.broadcast(classifier)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict = {}
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            for a, b in chunks(texts):
+                predicted = sent.value.scores(texts[a:b], memory) >= threshold
+                yield batch.slice(a, b - a).filter(pa.array(predicted == wanted))
+
+    return spread(docs).mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Classifier:
     return Classifier(*sample(docs, labels, label, per_class))
 
