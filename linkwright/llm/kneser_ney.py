@@ -16,8 +16,9 @@ BITS = 10
 OTHER = 1
 #: Characters that have a number of their own; the others count as one.
 CHARACTERS = (1 << BITS) - 2
-#: Places handled at a time.
+#: Places, and words while fitting, that are handled at a time.
 CELLS = 1 << 20
+WORDS = 50_000
 
 
 def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +53,10 @@ class Model:
         self.numbers = np.full(0x110000, OTHER, np.int16)
         for i, c in enumerate(top):
             self.numbers[ord(c)] = OTHER + 1 + i
-        keys, word = self.grams(words)
-        classes = [first[word], second[word]]
         self.levels: dict[int, Level] = {}
         counts = []
-        for w in classes:
-            used = w > 0
-            by = {order: _sums(keys[used], w[used])}
+        for w in (first, second):
+            by = {order: self._counted(words, w)}
             for n in range(order - 1, shared, -1):  # different symbols before a gram, in place of its count
                 above = by[n + 1][0]
                 by[n] = _sums(above & self._mask(n), np.ones(len(above)))
@@ -66,6 +64,15 @@ class Model:
         for n in range(shared + 1, order + 1):
             self._level(n, [c[n] for c in counts])
 
+    def _counted(self, words: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Grams of the full order with their weighted counts, a part of the words at a time."""
+        parts = []
+        for a in range(0, len(words), WORDS):
+            used = np.flatnonzero(weights[a : a + WORDS] > 0) + a
+            keys, word = self.grams([words[i] for i in used])
+            parts.append(_sums(keys, weights[used][word]))
+        return _sums(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0))
+
     def _mask(self, n: int) -> int:
         return (1 << BITS * n) - 1
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linkwright.llm.common import fold_of
 
 #: Labelled documents of each class that a classifier is fitted on at most; they are those with the smallest id hashes.
-PER_CLASS = 3_000
+PER_CLASS = 2_000
 #: Longer texts aren't fitted on (they are scored whole like any other).
 LONGEST = 64 << 10
 
@@ -31,8 +31,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
     both = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows at most
     rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(both, "doc_id")
     # of rows that repeat an id, one is fitted on
-    found = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("r.text", "r.y").orderBy(F.xxhash64("text"), "text").collect()
-    return [r.text or "" for r in found], np.array([r.y for r in found], np.int64), float(prior)
+    found = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("r.text", "r.y").orderBy(F.xxhash64("text"), "text").toArrow()
+    return [t or "" for t in found["text"].to_pylist()], found["y"].to_numpy().astype(np.int64), float(prior)
 
 
 def halves(n: int) -> np.ndarray:

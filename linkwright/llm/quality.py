@@ -62,19 +62,23 @@ class Vectors:
     """Names (words, shapes, the repetition) with numbers and vectors."""
 
     def __init__(self, texts: list[str]):
-        tokens = [t.split() for t in texts]
-        spread = Counter(w for own in tokens for w in set(own))
+        spread = Counter()
+        for t in texts:
+            spread.update(set(t.split()))
         frequent = sorted((w for w, n in spread.items() if n >= FREQUENT), key=lambda w: (-spread[w], w))[:WORDS]
-        kinds = Counter(shape(w) for own in tokens for w in set(own))
+        kinds = Counter()
+        for w, n in spread.items():
+            kinds[shape(w)] += n
+        del spread
         names = [UNKNOWN, SAME, *frequent, *sorted(kinds, key=lambda k: (-kinds[k], k))[:SHAPES]]
         self.number = {n: i for i, n in enumerate(names)}
         places = np.stack([index_vector(n)[0] for n in names])
         signs = np.stack([index_vector(n)[1] for n in names])
         own = np.zeros((len(names), WIDTH))
         np.put_along_axis(own, places, signs, 1)
-        context = np.zeros(len(names) * WIDTH)
-        for t in tokens:
-            ids = self.numbers(t, {})
+        context, memory = np.zeros(len(names) * WIDTH), {}
+        for t in texts:
+            ids = self.numbers(t.split(), memory)
             for d in range(1, WINDOW + 1):
                 for a, b in ((ids[d:], ids[:-d]), (ids[:-d], ids[d:])):
                     for k in range(NONZERO if len(a) else 0):
@@ -137,10 +141,10 @@ class Network:
         return np.maximum((x - self.mean) / self.scale @ self.p[0] + self.p[1], 0) @ self.p[2] + self.p[3][0]
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        """The temperature with the least cross-entropy on documents that weren't trained on."""
+        """The temperature, of at least 1, with the least cross-entropy on documents that weren't trained on."""
         logits = self.logits(x)
         loss = lambda t: -(w * np.log(np.where(y == 1, sigmoid(logits / t), sigmoid(-logits / t)) + 1e-12)).sum()
-        self.temperature = min(np.geomspace(0.5, 5, 46), key=loss)
+        self.temperature = min(np.geomspace(1, 10, 47), key=loss)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.logits(x) / self.temperature)

@@ -37,15 +37,15 @@ def words(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def features(counts: Counter, ratio: dict[str, float]) -> list[float]:
-    """Mean ratio over all tokens, the highest ratios of single words, and their mean."""
-    if not counts:
-        return [0.0] * (TOP + 2)
-    values = [ratio[w] for w in counts]
-    mean = sum(v * n for v, n in zip(values, counts.values())) / sum(counts.values())
-    top = sorted(values, reverse=True)[:TOP]
-    top = [min(v, MOST) for v in top + [0.0] * (TOP - len(top))]
-    return [max(-3.0, min(3.0, mean)), *top, sum(top) / TOP]
+def features(ratios: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of a document's distinct words: mean ratio over all tokens, the highest single ones, and their mean."""
+    out = np.zeros(TOP + 2)
+    if len(ratios):
+        out[0] = np.clip(ratios @ counts / counts.sum(), -3, 3)
+        top = np.minimum(np.sort(ratios)[::-1][:TOP], MOST)
+        out[1 : 1 + len(top)] = top
+        out[-1] = out[1:-1].mean()
+    return out
 
 
 class Classifier:
@@ -55,29 +55,28 @@ class Classifier:
         self.prior, self.model, self.link = prior, None, None
         if len(set(y.tolist())) < 2:
             return
-        counts = [words(t) for t in texts]
+        number: dict[str, int] = {}
+        docs = []
+        for t in texts:
+            own = words(t)
+            docs.append((np.array([number.setdefault(w, len(number)) for w in own], np.int32), np.array(list(own.values()), np.int32)))
+        known = list(number)
         fold, x = halves(len(y)), np.zeros((len(y), TOP + 2))
         for k in (0, 1):
             if len(set(y[fold != k].tolist())) == 2:
-                own = self._fit(counts, y, fold != k)
-                x[fold == k] = self._features(own, [c for c, f in zip(counts, fold) if f == k])
+                ratio = self._fit(known, docs, y, fold != k).ratios(known)
+                for i in np.flatnonzero(fold == k):
+                    x[i] = features(ratio[docs[i][0]], docs[i][1])
         self.link = Logistic(x, y, weights_for(y, prior))
-        self.model = self._fit(counts, y, np.ones(len(y), bool))
+        self.model = self._fit(known, docs, y, np.ones(len(y), bool))
 
     @staticmethod
-    def _fit(counts: list[Counter], y: np.ndarray, chosen: np.ndarray) -> Model:
-        sums = (Counter(), Counter())
-        for c, label, use in zip(counts, y, chosen):
+    def _fit(known: list[str], docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, chosen: np.ndarray) -> Model:
+        sums = np.zeros((2, len(known)))
+        for (at, n), label, use in zip(docs, y, chosen):
             if use:
-                sums[label].update(c)
-        known = sorted(set(sums[0]) | set(sums[1]))
-        return Model(known, np.array([sums[1][w] for w in known], float), np.array([sums[0][w] for w in known], float))
-
-    @staticmethod
-    def _features(model: Model, counts: list[Counter]) -> np.ndarray:
-        known = sorted(set().union(*counts))
-        ratio = dict(zip(known, model.ratios(known).tolist()))
-        return np.array([features(c, ratio) for c in counts]).reshape(len(counts), TOP + 2)
+                sums[label, at] += n
+        return Model(known, sums[1], sums[0])
 
     def scores(self, texts: list[str | None], memory: dict[str, float]) -> np.ndarray:
         if self.model is None:
@@ -88,7 +87,8 @@ class Classifier:
             memory.clear()
             new = list(set().union(*counts))
         memory.update(zip(new, self.model.ratios(new).tolist()))
-        return self.link(np.array([features(c, memory) for c in counts]).reshape(len(counts), TOP + 2))
+        rows = [features(np.array([memory[w] for w in c]), np.array(list(c.values()))) for c in counts]
+        return self.link(np.array(rows).reshape(len(counts), TOP + 2))
 
 
 def score(docs: DataFrame, classifier, threshold: float) -> DataFrame:
