@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwright.queries import decisions
+from linkwright.queries import decisions, texts
 from linkwright.session import workers_can_import
 
-MODULES = (decisions,)
+MODULES = (decisions, texts)
 
 
 def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

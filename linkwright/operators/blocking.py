@@ -93,7 +93,11 @@ def bucket(feature: Column, buckets: int = BUCKETS) -> Column:
 
 def long_features(records: DataFrame, bases: list[str]) -> DataFrame:
     """(rid, country, is_query, base, feature), each feature once a record."""
-    tagged = F.concat(*[F.transform(F.array_distinct(features(records, b)), lambda f, b=b: F.struct(F.lit(b).alias("base"), f.alias("feature"))) for b in bases])
+
+    def tagged_with(base: str) -> Column:
+        return F.transform(F.array_distinct(features(records, base)), lambda f: F.struct(F.lit(base).alias("base"), f.alias("feature")))
+
+    tagged = F.concat(*map(tagged_with, bases))
     return records.select("rid", "country", "is_query", F.explode(tagged).alias("f")).select("rid", "country", "is_query", "f.base", "f.feature")
 
 

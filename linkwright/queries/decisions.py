@@ -102,7 +102,7 @@ def near_copy_veto(spark, sf_dir):
 def _context_sql(scores: list[str]) -> str:
     columns = ["q", "p"]
     for s in scores:
-        columns += [f"row_number() OVER (PARTITION BY q ORDER BY {s} DESC, p) AS {s}_rank_q", f"max({s}) OVER (PARTITION BY q) AS {s}_max_q", f"round(max({s}) OVER (PARTITION BY q) - {s}, 6) AS {s}_gap_q", f"row_number() OVER (PARTITION BY p ORDER BY {s} DESC, q) AS {s}_rank_p", f"round(max({s}) OVER (PARTITION BY p) - {s}, 6) AS {s}_gap_p"]
+        columns += [f"row_number() OVER (PARTITION BY q ORDER BY {s} DESC, p) AS {s}_rank_q", f"round(max({s}) OVER (PARTITION BY q), 6) AS {s}_max_q", f"round(max({s}) OVER (PARTITION BY q) - {s}, 6) AS {s}_gap_q", f"row_number() OVER (PARTITION BY p ORDER BY {s} DESC, q) AS {s}_rank_p", f"round(max({s}) OVER (PARTITION BY p) - {s}, 6) AS {s}_gap_p"]
     return f"WITH {CHANNELS_SQL} SELECT {', '.join(columns)}, count(*) OVER (PARTITION BY q) AS n_cand_q, count(*) OVER (PARTITION BY p) AS n_cand_p FROM ch"
 
 
@@ -113,9 +113,9 @@ def context_features(spark, sf_dir):
 
 
 @query(f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY prob DESC, q) AS prob_rank_p, row_number() OVER (PARTITION BY q ORDER BY prob DESC, p) AS prob_rank_q FROM pairs)
-  SELECT q, p, prob_rank_q, max(prob) OVER (PARTITION BY q) AS prob_max_q, round(max(prob) OVER (PARTITION BY q) - prob, 6) AS prob_gap_q, round(sum(prob) OVER (PARTITION BY q), 6) AS prob_sum_q,
+  SELECT q, p, prob_rank_q, round(max(prob) OVER (PARTITION BY q), 6) AS prob_max_q, round(max(prob) OVER (PARTITION BY q) - prob, 6) AS prob_gap_q, round(sum(prob) OVER (PARTITION BY q), 6) AS prob_sum_q,
     count(*) FILTER (WHERE prob >= 0.5) OVER (PARTITION BY q) AS n_conf_q, count(*) FILTER (WHERE prob >= 0.9) OVER (PARTITION BY q) AS n_conf90_q,
-    coalesce(CASE WHEN prob_rank_p = 1 THEN max(CASE WHEN prob_rank_p = 2 THEN prob END) OVER (PARTITION BY p) ELSE max(prob) OVER (PARTITION BY p) END, -1.0) AS other_best_p,
+    round(coalesce(CASE WHEN prob_rank_p = 1 THEN max(CASE WHEN prob_rank_p = 2 THEN prob END) OVER (PARTITION BY p) ELSE max(prob) OVER (PARTITION BY p) END, -1.0), 6) AS other_best_p,
     prob_rank_p, count(*) FILTER (WHERE prob >= 0.5) OVER (PARTITION BY p) AS n_conf_p FROM r""")
 def profile_features(spark, sf_dir):
     return rounded(context.profile_features(scored(spark, sf_dir, "l_suppkey")).drop("prob", "y", "num_agree"))

@@ -32,13 +32,13 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy(F.col("l_suppkey").alias("q"), F.col("l_partkey").alias("p")).agg(
         F.max(F.col("l_extendedprice") / 110000).alias("s_price"),
         F.max(F.col("l_quantity") / 50 - F.col("l_tax")).alias("s_quantity"),
-        F.max(F.col("l_discount") + F.col("l_extendedprice") / 220000).alias("s_combo"),
+        F.max(F.col("l_discount") + F.col("l_extendedprice") / 220017).alias("s_combo"),
         F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"),
     )
 
 
 CHANNELS_SQL = """ch AS (SELECT l_suppkey AS q, l_partkey AS p, max(l_extendedprice / 110000) AS s_price,
-        max(l_quantity / 50 - l_tax) AS s_quantity, max(l_discount + l_extendedprice / 220000) AS s_combo,
+        max(l_quantity / 50 - l_tax) AS s_quantity, max(l_discount + l_extendedprice / 220017) AS s_combo,
         max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1, 2)"""
 
 
