@@ -52,14 +52,15 @@ class Vocabulary:
         return own
 
     def arcs(self, codes: np.ndarray) -> list[np.ndarray]:
-        """``codes`` (words, places), 0 beyond a word's end -> for each arc length the piece ids by start, or NONE."""
+        """``codes`` (words, places), NONE beyond a word's end -> for each arc length the piece ids by start, or NONE."""
         n, places = codes.shape
         node = np.zeros(n * places, np.int64)
-        active = np.flatnonzero(codes.ravel())
+        active = np.flatnonzero(codes.ravel() >= 0)
         flat, column = codes.ravel(), np.tile(np.arange(places), n)
         out = []
         for length in range(1, min(self.longest, places) + 1):
             active = active[column[active] + length <= places]
+            active = active[flat[active + length - 1] >= 0]
             key = node[active] << 21 | flat[active + length - 1]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
@@ -98,7 +99,7 @@ def batches(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             end = min(end + 64, len(order))
         own = order[start:end]
         lengths = sizes[own]
-        codes = np.zeros((len(own), int(lengths[-1])), np.int64)
+        codes = np.full((len(own), int(lengths[-1])), NONE, np.int64)
         codes[:, 0] = ord(MARK)
         joined = np.frombuffer("".join(words[i] for i in own).encode("utf-32-le", "surrogatepass"), "<u4")
         row = np.repeat(np.arange(len(own)), lengths - 1)
@@ -115,7 +116,7 @@ class Lattice:
         self.vocabulary, self.codes, self.lengths = vocabulary, codes, lengths
         self.ids = vocabulary.arcs(codes)
         self.weights = [np.where(ids >= 0, logp[ids], -np.inf) for ids in self.ids]
-        self.fallback = (self.ids[0] == NONE) & (codes > 0)
+        self.fallback = (self.ids[0] == NONE) & (codes >= 0)
         self.spelled = {int(c): vocabulary.bytes[list(chr(c).encode("utf-8", "surrogatepass"))] for c in np.unique(codes[self.fallback])}
         if self.spelled:
             chars = np.array(sorted(self.spelled))

@@ -161,9 +161,9 @@ def hexadecimal(fp: Column) -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents whose id is the smallest of their component; of rows equal in id and text, one stays."""
     found = simhash_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    once = docs.withColumn("_hash", text_hash()).dropDuplicates(["doc_id", "_hash"])
-    return once.join(kept, (F.col("_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").drop("_hash")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")).distinct()
+    once = docs.withColumn("__text_hash", text_hash()).dropDuplicates(["doc_id", "__text_hash"])
+    return once.join(kept, (F.col("__text_hash") == F.col("__kept_hash")) & F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").drop("__text_hash")
 
 
 def op6_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:

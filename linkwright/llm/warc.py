@@ -68,7 +68,8 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date)]
-    fields += [("WARC-Target-URI", _clean(url))] * (url is not None)
+    if url is not None:
+        fields.append(("WARC-Target-URI", _clean(url)))
     fields += [("WARC-Payload-Digest", f"sha1:{digest}")]
     if revisit:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", refers_to)]
