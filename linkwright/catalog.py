@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwright.queries import decisions, texts
+from linkwright.queries import decisions, plans, texts
 from linkwright.session import workers_can_import
 
-MODULES = (decisions, texts)
+MODULES = (decisions, texts, plans)
 
 
 def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,10 @@ def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ready(plans.linkage_documents)(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _ready(f) for m in MODULES for name, f in m.QUERIES.items()}
 

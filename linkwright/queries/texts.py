@@ -115,18 +115,17 @@ def ratio_kernels(spark, sf_dir):
     return rounded(pairs.select("a", "b", *[kernels.similarity(k, F.col("a"), F.col("b")).alias(k) for k in ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio")]))
 
 
-@query("""WITH x AS (SELECT s_suppkey AS q, p_partkey AS p, s_suppkey::VARCHAR AS a, p_partkey::VARCHAR AS b FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50)
+@query("""WITH x AS (SELECT DISTINCT l_suppkey AS q, l_partkey AS p, l_suppkey::VARCHAR AS a, l_partkey::VARCHAR AS b FROM lineitem)
   SELECT q, p, (a = b)::INT::DOUBLE AS num_state, round(ln(1 + abs(q - p)), 6) AS num_logdiff, (q % 2 = p % 2)::INT::DOUBLE AS num_same_parity, (length(a) = length(b))::INT::DOUBLE AS num_same_len,
     (length(a) = length(b) AND hamming(a, rpad(left(b, length(a)::INT), length(a)::INT, '#')) = 1)::INT::DOUBLE AS num_one_digit_sub, (a <> b AND list_sort(string_split(a, '')) = list_sort(string_split(b, '')))::INT::DOUBLE AS num_transposition,
     (a <> b AND (starts_with(a, b) OR starts_with(b, a)))::INT::DOUBLE AS num_prefix, (a <> b AND abs(q - p) <= 12)::INT::DOUBLE AS num_neighbour, round(ln(1 + abs(q - p)), 6) AS num_min_logdiff_any FROM x""")
 def number_relations(spark, sf_dir):
     from linkwright.functions.numbers import number_relations as relations
 
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("q"), (F.col("s_suppkey") % 50).alias("k"))
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), (F.col("p_partkey") % 50).alias("k"))
+    pairs = channels(spark, sf_dir).select("q", "p")
     street = F.array(F.lit("main"))
     a, b = F.col("q").cast("string"), F.col("p").cast("string")
-    return rounded(s.join(p, "k").select("q", "p", *[v.alias(k) for k, v in relations(a, b, street, street, F.array(b)).items()]))
+    return rounded(pairs.select("q", "p", *[v.alias(k) for k, v in relations(a, b, street, street, F.array(b)).items()]))
 
 
 def _records(spark, sf_dir):
@@ -172,12 +171,10 @@ def channel_union(spark, sf_dir):
     return both.where(((F.col("r_s_name") <= 4) & (F.col("s_name") > 1e-6)) | ((F.col("r_s_gram") <= 3) & (F.col("s_gram") > 1e-6))).select("q", "p", "s_name", "s_gram")
 
 
-@query(f"WITH {FEATURES}, g AS (SELECT q, p FROM (SELECT rid AS q FROM rec WHERE is_query) CROSS JOIN (SELECT rid AS p FROM rec WHERE NOT is_query) WHERE (q + p) % 97 = 0) SELECT q, p, round(coalesce(d_name, 0), 6) AS d_name, round(coalesce(d_gram, 0), 6) AS d_gram FROM g LEFT JOIN dot USING (q, p)")
+@query(f"WITH {FEATURES}, g AS (SELECT a.rid AS q, b.rid AS p FROM rec a JOIN rec b ON a.country = b.country AND a.is_query AND NOT b.is_query AND left(a.n_compact, 1) = left(b.n_compact, 1)) SELECT q, p, round(coalesce(d_name, 0), 6) AS d_name, round(coalesce(d_gram, 0), 6) AS d_gram FROM g LEFT JOIN dot USING (q, p)")
 def rescore_pairs(spark, sf_dir):
-    records = _records(spark, sf_dir)
-    q = records.where("is_query").select(F.col("rid").alias("q"), (F.col("rid") % 97).alias("k"))
-    p = records.where("NOT is_query").select(F.col("rid").alias("p"), ((97 - F.col("rid") % 97) % 97).alias("k"))
-    return rounded(blocking.rescore(q.join(p, "k").select("q", "p"), _weights(spark, sf_dir), ["name", "gram"]))
+    _, pairs = _record_pairs(spark, sf_dir)
+    return rounded(blocking.rescore(pairs, _weights(spark, sf_dir), ["name", "gram"]))
 
 
 @query(f"""WITH {CHANNELS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s_price DESC, p) AS ra, row_number() OVER (PARTITION BY q ORDER BY s_quantity DESC, p) AS rb FROM ch),
