@@ -6,7 +6,7 @@ are written to the shared folder after each round, so a lost executor costs one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import drop_table, materialise
@@ -28,8 +28,24 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def ranked(first_id: str, key: str) -> Column:
+    """A node that sorts by the smallest id of its rows, null ids last; so a root tells its component's smallest id."""
+    return F.struct(F.col(first_id).isNull().alias("none"), F.col(first_id).alias("first_id"), F.col(key).alias("key"))
+
+
+def ranked_components(links: DataFrame, nodes: DataFrame, key: str, first_id: str) -> DataFrame:
+    """(key, root_key, component_id) of every linked node; ``links(a, b)`` hold keys of ``nodes(key, first_id)``.
+
+    The smallest id of a component comes with its root, so nothing has to be gathered by component, however large one is.
+    """
+    side = lambda k: nodes.select(F.col(key).alias(k), ranked(first_id, key).alias(f"_{k}"))
+    named = links.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    found = connected_components(named)
+    return found.select(F.col("node.key").alias(key), F.col("root.key").alias("root_key"), F.col("root.first_id").alias("component_id"))
+
+
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``links(a, b)`` of longs -> ``(node, root)``: every linked node with the smallest node it reaches.
+    """``links(a, b)`` of longs or ordered structs -> ``(node, root)``: every linked node with the smallest it reaches.
 
     Null ends, loops and repeated links are ignored; an empty table gives no rows.
     """

@@ -155,7 +155,7 @@ class Lattice:
             if k == 1 and self.spelled:
                 at = self.fallback[:, : places - k + 1]
                 for c, s in zip(self.codes[:, : places - k + 1][at].tolist(), share[at].tolist()):
-                    found[self.spelled[c]] += s
+                    np.add.at(found, self.spelled[c], s)
         return found
 
 

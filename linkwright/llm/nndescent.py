@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import drop_table, materialise, ready, table
-from linkwright.llm.graph import connected_components
+from linkwright.llm.graph import ranked_components
 
 THRESHOLD = 0.93
 NEIGHBOURS, ENLARGED = 10, 40
@@ -256,15 +256,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, orders: in
     ready(vectors.sparkSession)
     nodes = classes(vectors)
     while True:
-        roots = materialise(connected_components(descend(nodes, orders, threshold)), "nn-roots")
+        links = descend(nodes, orders, threshold)
+        linked = ranked_components(links, nodes.select("rid", "first_id"), "rid", "first_id")
+        roots = materialise(linked.select(F.col("rid").alias("node"), F.col("root_key").alias("root"), "component_id"), "nn-roots")
         counted = materialise(count_links(nodes, roots, threshold), "nn-counts")
         found = audit(nodes, counted, threshold)
         if found >= recall or orders >= 4 * ORDERS:
             break
         orders *= 2
-    rooted = nodes.select("rid", "label", "embedding", "first_id", "n").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(counted, "rid", "left").join(least, "root").select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    component = F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("first_id"))
+    own = nodes.select("rid", "label", "embedding", "first_id", "n").join(roots, F.col("rid") == F.col("node"), "left").join(counted, "rid", "left")
+    named = own.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), component.alias("component_id"))
     named = named.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id")
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     joined = rows.join(named, (rows["label"] == named["l"]) & (rows["embedding"] == named["e"]), "left")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import materialise, ready, spread, table
-from linkwright.llm.graph import connected_components
+from linkwright.llm.graph import ranked_components
 
 SEED = 42
 WORDS = 4
@@ -147,10 +147,8 @@ def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DIST
     prints = materialise(fingerprints(docs, words), "simhash-prints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     links = fingerprint_links(classes.select("fp"), distance, n_sections or (3 if classes.count() <= FEW else 2))
-    roots = materialise(connected_components(links), "simhash-roots")
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    linked = materialise(ranked_components(links, classes, "fp", "first_id"), "simhash-components").select("fp", F.lit(True).alias("linked"), "component_id")
+    named = classes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id")
 
 
