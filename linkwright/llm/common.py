@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -62,7 +61,7 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """Writes ``df`` as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
@@ -103,7 +102,3 @@ def chunks(texts: list, limit: int = CHUNK_BYTES):
         size += n
     if start < len(texts):
         yield start, len(texts)
-
-
-def python_version() -> str:
-    return f"{sys.version_info.major}.{sys.version_info.minor}"
