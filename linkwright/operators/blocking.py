@@ -136,7 +136,8 @@ def candidates(records: DataFrame, channels: Mapping[str, Channel] | None = None
     """(q, p, s_<channel> ...): union of all channels' best, each pair scored on every channel."""
     channels = dict(channels or default_channels())
     bases = sorted({b for c in channels.values() for b in c.weights})
-    dots = dot_products(tfidf(long_features(records, bases), records, max_df), bases)
+    weights = tfidf(long_features(records, bases), records, max_df).persist()  # both sides of the join read it
+    dots = dot_products(weights, bases)
     scored = dots.select("q", "p", *[channel_score(c).alias(f"s_{n}") for n, c in channels.items()])
     ranked = scored.withColumns({f"_r_{n}": within_query(F.col(f"s_{n}")) for n in channels})
     chosen = reduce(lambda a, b: a | b, [(F.col(f"_r_{n}") <= c.k) & (F.col(f"s_{n}") > least) for n, c in channels.items()])

@@ -32,7 +32,7 @@ def query(sql: str | None):
 def document_records(spark, sf_dir):
     """Documents as records: language for country, every fourth a query, first words for name and address."""
     docs = read(spark, sf_dir, "documents")
-    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
+    words = F.split(F.coalesce("text", F.lit("")), r"\s+", NAME_WORDS + ADDRESS_WORDS + 1)  # the rest stays whole
     return docs.select(
         F.col("doc_id").alias("rid"), F.coalesce("lang", F.lit("")).alias("country"), (F.col("doc_id") % 4 == 0).alias("is_query"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(2).alias("src"),
         F.array_join(F.slice(words, 1, NAME_WORDS), " ").alias("name"), F.array_join(F.slice(words, NAME_WORDS + 1, ADDRESS_WORDS), " ").alias("address"),
