@@ -149,12 +149,20 @@ def spearman(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
     return df.withColumn("ra", average_rank(a)).withColumn("rb", average_rank(b)).groupBy(by).agg(F.corr("ra", "rb").alias("rho"))
 
 
-def auc(scored: DataFrame, value: str = "prob", label: str = "y") -> DataFrame:
-    """Area under the ROC curve, exactly: counts by distinct score, then ranks of those; the scores must be few or rounded."""
-    cells = scored.groupBy(value).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.sum("neg").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = cells.withColumn("below", F.coalesce(below, F.lit(0)))
-    return ranked.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+def auc(scored: DataFrame, value: str = "prob", label: str = "y", cells: int = 10_000) -> DataFrame:
+    """Area under the ROC curve, exactly.
+
+    Negatives below each score are counted in two steps, so that no task sees all scores: those of lower cells of
+    probability, of which there are ``cells`` at most, and those of lower scores in the same cell.
+    """
+    cell = F.least(F.greatest(F.floor(F.col(value) * cells), F.lit(0)), F.lit(cells))
+    byscore = scored.groupBy(cell.alias("cell"), F.col(value).alias("v")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
+    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    lower = byscore.groupBy("cell").agg(F.sum("neg").alias("neg")).select("cell", F.coalesce(F.sum("neg").over(upto), F.lit(0)).alias("lower"))
+    inside = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = byscore.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(F.broadcast(lower), "cell")  # one row a cell
+    wins = F.col("pos") * (F.col("lower") + F.col("below") + F.col("neg") / 2)
+    return ranked.agg((F.sum(wins) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def profile(df: DataFrame, column: str) -> DataFrame:

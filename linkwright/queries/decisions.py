@@ -134,7 +134,7 @@ def second_claims(spark, sf_dir):
 @query(f"""WITH {P}, sure AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY prob DESC, p) AS r FROM pairs WHERE prob >= 0.3) WHERE r <= 6),
   met AS (SELECT a.q, a.p, s.prob AS prob_other, a.p % 7 = s.p % 7 AS same_num, (x.p_brand = z.p_brand) AS same_src,
       100.0 * len(list_intersect(string_split(x.p_name, ' '), string_split(z.p_name, ' '))) / len(list_distinct(string_split(x.p_name, ' ') || string_split(z.p_name, ' '))) AS n_sim,
-      CASE WHEN x.p_type = z.p_type THEN 100.0 ELSE 0.0 END AS a_sim
+      CASE WHEN x.p_type = z.p_type THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS a_sim
     FROM pairs a JOIN sure s ON a.q = s.q AND a.p <> s.p JOIN part x ON x.p_partkey = a.p JOIN part z ON z.p_partkey = s.p),
   g AS (SELECT q, p, max(n_sim) AS sib_name_max, avg(n_sim) AS sib_name_mean, max(a_sim) AS sib_addr_max, avg(a_sim) AS sib_addr_mean, max(least(n_sim, a_sim)) AS sib_both_max,
       max(prob_other * greatest(least(n_sim, a_sim), 0) / 100) AS sib_wboth_max, max(same_num::INT::DOUBLE) AS sib_same_num, avg(same_src::INT) AS sib_same_src, count(*) AS n_sibs FROM met GROUP BY q, p)

@@ -153,7 +153,7 @@ def claim_bands(spark, sf_dir):
 
 
 @query("""WITH pr AS (SELECT l_orderkey AS q, l_partkey AS p, max(l_extendedprice / 110000) AS prob, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1, 2),
-  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY prob DESC, p) AS r FROM pr), g AS (SELECT unnest([0.01, 0.05, 0.2]) AS least), t AS (SELECT unnest([1, 2, 4]) AS most)
+  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY prob DESC, p) AS r FROM pr), g AS (SELECT unnest([0.01, 0.05, 0.2]::DOUBLE[]) AS least), t AS (SELECT unnest([1, 2, 4]) AS most)
   SELECT least, most, count(*) FILTER (WHERE prob >= least AND r <= most) AS n_pairs, count(*) FILTER (WHERE prob >= least AND r <= most AND y = 1) AS n_true FROM r, g, t GROUP BY 1, 2""")
 def undecided_grid(spark, sf_dir):
     ranked = scored(spark, sf_dir).withColumn("r", context.group_rank("q", "prob", "p"))
