@@ -26,7 +26,7 @@ from linkwright.llm.common import ready, spread, table
 from linkwright.llm.lattice import MARK, load
 
 UNKNOWN = 10.0
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 STRETCH = re.compile(f"{MARK}?[^{MARK}\n]+|{MARK}|\n")
 _CODECS: dict = {}
 
