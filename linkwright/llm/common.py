@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -45,7 +47,9 @@ def scratch_root(spark: SparkSession) -> str:
         return known.get().rstrip("/")
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         if not _LOCAL_SCRATCH:
-            _LOCAL_SCRATCH.append(Path(tempfile.mkdtemp(prefix="linkwright-")).as_uri())
+            folder = tempfile.mkdtemp(prefix="linkwright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _LOCAL_SCRATCH.append(Path(folder).as_uri())
         root = _LOCAL_SCRATCH[0]
     else:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
@@ -53,8 +57,18 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where all scratch tables and archives of this application are."""
+    return f"{scratch_root(spark)}/linkwright-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what the operators of this application stored; their results must have been written before."""
+    delete_path(spark, scratch_folder(spark))
 
 
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -37,6 +37,9 @@ DISTANCE = 4
 FEW = 4_000_000
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
+#: ``keep_one`` beyond equal or close fingerprints: words of a shingle, similarity of shingle sets, bits of the 64 and
+#: of both halves of a wide fingerprint in which candidates may differ (a similarity of 0.8 gives about 10 and 20).
+SET_WORDS, SIMILARITY, HALF_BITS, WIDE_BITS = 5, 0.8, 14, 26
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> list[int]:
@@ -63,6 +66,22 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def shingle_set(text: str | None, words: int = SET_WORDS) -> set[bytes]:
+    """The different shingles, as text."""
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def wide_fingerprint(text: str | None, words: int = SET_WORDS) -> tuple[int, int]:
+    """Two halves of a 128-bit fingerprint of the set of shingles."""
+    own = list(shingle_set(text, words))
+    counts = np.zeros(128, np.int64)
+    for i in range(0, len(own), BLOCK):
+        digests = b"".join(map(xxhash.xxh3_128_digest, own[i : i + BLOCK]))
+        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+    return tuple(np.packbits(counts * 2 > len(own)).view("<i8").tolist()) if own else (0, 0)
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, text_hash): the fingerprint as a signed long, and a hash that tells rows of one doc_id apart."""
 
@@ -131,39 +150,101 @@ def sections(n: int, distance: int = DISTANCE) -> list[Section]:
     return [Section(sum(widths[:i]), w, {2: 5, 3: 4}[n], distance // n) for i, w in enumerate(widths)]
 
 
+def anchor_pairs(rows: DataFrame, word: str, carried: list[str], near: Column, parts: list[Section]) -> DataFrame:
+    """Pairs of rows that meet at an anchor of one of the sections of ``word`` and are ``near``.
+
+    ``carried`` columns come as a_<name> from the row at home and as b_<name> from the visitor.
+    """
+    side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in carried]
+    homes = rows.select(*side("a"), F.explode(F.array(*[s.home(F.col(word)) for s in parts])).alias("home"))
+    visitors = rows.select(*side("b"), F.explode(F.concat(*[s.visits(F.col(word)) for s in parts])).alias("visited"))
+    return visitors.join(homes.hint("shuffle_hash"), (F.col("home") == F.col("visited")) & near)
+
+
+def differing(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, n_sections: int = 3) -> DataFrame:
     """``fps(fp)``, all different -> (a, b), a < b: those that differ in ``distance`` bits or fewer."""
-    parts = sections(n_sections, distance)
-    homes = fps.select(F.col("fp").alias("a"), F.explode(F.array(*[s.home(F.col("fp")) for s in parts])).alias("anchor"))
-    visitors = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*[s.visits(F.col("fp")) for s in parts])).alias("anchor"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    met = visitors.join(homes.hint("shuffle_hash"), (homes["anchor"] == visitors["anchor"]) & near)
-    return met.select("a", "b").distinct()
+    near = (F.col("a_fp") < F.col("b_fp")) & (differing("a_fp", "b_fp") <= distance)
+    met = anchor_pairs(fps, "fp", ["fp"], near, sections(n_sections, distance))
+    return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
 
 
-def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, n_sections: int | None = None) -> DataFrame:
-    """(doc_id, fp, text_hash, component_id) for every row of ``docs(doc_id, text)``; component_id is the smallest doc_id reachable."""
-    ready(docs.sparkSession)
-    prints = materialise(fingerprints(docs, words), "simhash-prints")
+def components_of(prints: DataFrame, distance: int = DISTANCE, n_sections: int | None = None) -> DataFrame:
+    """Adds component_id to rows with ``doc_id`` and ``fp``."""
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     links = fingerprint_links(classes.select("fp"), distance, n_sections or (3 if classes.count() <= FEW else 2))
     linked = materialise(ranked_components(links, classes, "fp", "first_id"), "simhash-components").select("fp", F.lit(True).alias("linked"), "component_id")
     named = classes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id")
+    return prints.join(named, "fp")
 
 
-def hexadecimal(fp: Column) -> Column:
-    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, n_sections: int | None = None) -> DataFrame:
+    """(doc_id, fp, text_hash, component_id) for every row of ``docs(doc_id, text)``; component_id is the smallest doc_id reachable."""
+    ready(docs.sparkSession)
+    prints = materialise(fingerprints(docs, words), "simhash-prints")
+    return components_of(prints, distance, n_sections).select("doc_id", "fp", "text_hash", "component_id")
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
+    """(a, b) of ``nodes(nid, doc_id, text_hash, g0, g1)`` whose shingle sets are similar; candidates by wide fingerprints, then exact."""
+    near = (F.col("a_nid") < F.col("b_nid")) & (differing("a_g0", "b_g0") + differing("a_g1", "b_g1") <= WIDE_BITS)
+    half = lambda g: anchor_pairs(nodes, g, ["nid", "g0", "g1"], near & (differing(f"a_{g}", f"b_{g}") <= HALF_BITS), sections(3))
+    pairs = half("g0").unionByName(half("g1")).select(F.col("a_nid").alias("a"), F.col("b_nid").alias("b")).distinct()
+    pairs = materialise(pairs, "simhash-candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted(xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingle_set(t.as_py(), words)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["nid", "shingles"])
+
+    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+    wanted = ends.join(nodes, "nid").select("nid", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    texts = docs.select("doc_id", "text").join(wanted, (text_hash() == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    known = materialise(texts.select("nid", "text").dropDuplicates(["nid"]).mapInArrow(sets, "nid long, shingles array<long>"), "simhash-shingles")
+    side = lambda k: known.select(F.col("nid").alias(k), F.col("shingles").alias(f"s_{k}"))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
+    return met.where(F.col("shared") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("shared"))).select("a", "b")
+
+
+def with_wide_fingerprints(docs: DataFrame, words: int = WORDS, set_words: int = SET_WORDS) -> DataFrame:
+    """(doc_id, fp, text_hash, g0, g1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = np.array([fingerprint(shingle_hashes(t, words)) for t in texts], dtype=np.uint64)
+            wide = np.array([wide_fingerprint(t, set_words) for t in texts], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["doc_id", "fp", "text_hash", "g0", "g1"])
+
+    return spread(docs.select("doc_id", "text", text_hash().alias("text_hash"))).mapInArrow(run, "doc_id long, fp long, text_hash long, g0 long, g1 long")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component; of rows equal in id and text, one stays."""
-    found = simhash_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")).distinct()
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id; of rows equal in id and text, one stays.
+
+    Documents whose fingerprints link are a group. Of each group its smallest id goes on to a second search, by fingerprints of
+    128 bits over the sets of five-word shingles, whose candidates are compared exactly: those that share
+    ``similarity`` of their shingles are one group as well.
+    """
+    ready(docs.sparkSession)
+    found = components_of(materialise(with_wide_fingerprints(docs), "simhash-prints"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash", "g0", "g1").distinct()
+    nodes = materialise(first.withColumn("nid", F.monotonically_increasing_id()), "simhash-nodes")
+    linked = ranked_components(similar_pairs(docs, nodes, similarity), nodes.select("nid", "doc_id"), "nid", "doc_id")
+    gone = linked.where(F.col("nid") != F.col("root_key")).select("nid")
+    kept = nodes.join(gone, "nid", "left_anti").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
     once = docs.withColumn("__text_hash", text_hash()).dropDuplicates(["doc_id", "__text_hash"])
     return once.join(kept, (F.col("__text_hash") == F.col("__kept_hash")) & F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").drop("__text_hash")
 
 
+def hexadecimal(fp: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 def op6_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")

@@ -20,6 +20,14 @@ def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
+def test_scratch_can_be_dropped(spark):
+    kept = common.materialise(spark.range(5), "test")
+    assert kept.count() == 5 and all(common.scratch_folder(spark) in f.replace("file:///", "file:/").replace("file:/", "file:///") for f in kept.inputFiles())
+    common.drop_table(kept)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 # --- packing ---------------------------------------------------------------------------------------------------
 
 
@@ -198,6 +206,25 @@ def test_keep_one_of_each_group(docs):
     assert sum(r["doc_id"] is None for r in kept) == 1 and set(kept[0]) == set(docs.columns)
 
 
+def test_similar_texts_are_one_group(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    texts = [(1, " ".join(base))]
+    for i in range(2, 14):  # from two words of 300 changed to thirteen
+        own = list(base)
+        for at in rng.choice(300, i, replace=False):
+            own[at] = f"new{i}x{at}"
+        texts.append((i, " ".join(own)))
+    texts += [(100 + i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 300))) for i in range(30)] + [(200, "short text"), (201, "short texts"), (202, None)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets = {i: simhash.shingle_set(t) for i, t in texts}
+    alone = {i for i, _ in texts if all(i == j or len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for j, _ in texts)}
+    assert alone - {i for i, _ in texts if i < 14} <= kept and 1 in kept and {200, 201, 202} <= kept
+    assert not kept & {2, 3, 4}  # over nine tenths alike
+    a, b = (np.array(simhash.wide_fingerprint(t)) for t in (texts[0][1], texts[1][1]))
+    assert sum(int(x).bit_count() for x in (a ^ b).astype(np.uint64)) <= 26
+
+
 def test_simhash_query(spark, sf):
     texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
     found = {r.doc_id: r for r in simhash.op6_simhash_anchor_cover(spark, sf).collect()}
