@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkwright.config import Channel
@@ -76,16 +77,10 @@ def adapted_scores(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)
     source = rows.where("q % 2 = 0")
     target = models.logistic().fit(source, MODEL_FEATURES)(rows.where("q % 2 = 1"))
-    target = target.withColumn("prob", F.percent_rank().over(_by_rank("prob")))
+    target = target.withColumn("prob", F.percent_rank().over(Window.partitionBy("q").orderBy("prob", "p")))
     return models.adapt(source, target, MODEL_FEATURES, models.logistic()).select("q", "p", F.round("prob", 4).alias("prob"))
 
 
-def _by_rank(column):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.pmod(F.xxhash64("q"), F.lit(16))).orderBy(column, "q", "p")
-
-
 @query(None)
 def domain_auc(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)
