@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 import duckdb
+import pandas as pd
 import pytest
 
 from linkwright import catalog
@@ -21,7 +20,7 @@ def duck(sf):
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if pd.isna(value):
         return None
     value = value.item() if hasattr(value, "item") else value
     return round(float(value), 5) + 0.0 if isinstance(value, (int, float)) else value
