@@ -18,13 +18,14 @@ Equal fingerprints are compared once, however many documents share them. Empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import materialise, ready, spread, table
@@ -37,9 +38,10 @@ DISTANCE = 4
 FEW = 4_000_000
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
-#: ``keep_one`` beyond equal or close fingerprints: words of a shingle, similarity of shingle sets, bits of the 64 and
-#: of both halves of a wide fingerprint in which candidates may differ (a similarity of 0.8 gives about 10 and 20).
-SET_WORDS, SIMILARITY, HALF_BITS, WIDE_BITS = 5, 0.8, 14, 26
+#: ``keep_one``: words of a shingle and similarity of shingle sets.
+SET_WORDS, SIMILARITY = 5, 0.8
+#: Documents in which shingles are counted, and most of the counted ones; both decide the cost alone, never what is found.
+SAMPLE, MOST_COMMON = 10_000, 100_000
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> list[int]:
@@ -188,53 +190,107 @@ def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DIST
     return components_of(prints, distance, n_sections).select("doc_id", "fp", "text_hash", "component_id")
 
 
-def similar_pairs(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
-    """(a, b) of ``nodes(nid, doc_id, text_hash, g0, g1)`` whose shingle sets are similar; candidates by wide fingerprints, then exact."""
-    near = (F.col("a_nid") < F.col("b_nid")) & (differing("a_g0", "b_g0") + differing("a_g1", "b_g1") <= WIDE_BITS)
-    half = lambda g: anchor_pairs(nodes, g, ["nid", "g0", "g1"], near & (differing(f"a_{g}", f"b_{g}") <= HALF_BITS), sections(3))
-    pairs = half("g0").unionByName(half("g1")).select(F.col("a_nid").alias("a"), F.col("b_nid").alias("b")).distinct()
-    pairs = materialise(pairs, "simhash-candidates")
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of ``n`` ordered shingles hold one that every set of that similarity shares among its own first ones."""
+    return min(n, n - math.ceil(similarity * n - 1e-9) + 1)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def set_hashes(text: str | None, words: int = SET_WORDS) -> np.ndarray:
+    """The hashes of the different shingles, ascending, as signed longs."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64).view(np.int64))
+
+
+def _lists(own: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
+
+
+def with_sets(texts: DataFrame, words: int = SET_WORDS) -> DataFrame:
+    """``texts(key, text)`` -> (key, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted(xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingle_set(t.as_py(), words)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["nid", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([set_hashes(t.as_py(), words) for t in batch.column(1)])], names=["key", "shingles"])
+
+    return texts.mapInArrow(run, "key long, shingles array<long>")
 
-    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    wanted = ends.join(nodes, "nid").select("nid", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    texts = docs.select("doc_id", "text").join(wanted, (text_hash() == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    known = materialise(texts.select("nid", "text").dropDuplicates(["nid"]).mapInArrow(sets, "nid long, shingles array<long>"), "simhash-shingles")
-    side = lambda k: known.select(F.col("nid").alias(k), F.col("shingles").alias(f"s_{k}"))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
-    return met.where(F.col("shared") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("shared"))).select("a", "b")
 
+def common_shingles(docs: DataFrame, words: int = SET_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that many documents share, from about ``SAMPLE`` of them: of bounded size."""
+    share = max(1, docs.count() // SAMPLE)
+    asked = docs.select(text_hash().alias("key"), "text").where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
+    counts = with_sets(asked, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") > 2).orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
+    found = np.array([(r.s, r.n) for r in rows], np.int64).reshape(-1, 2)
+    return tuple(found[np.argsort(found[:, 0])].T)
 
-def with_wide_fingerprints(docs: DataFrame, words: int = WORDS, set_words: int = SET_WORDS) -> DataFrame:
-    """(doc_id, fp, text_hash, g0, g1)."""
+
+def shingle_prefixes(docs: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
+    """(doc_id, text_hash, nid, n, prefix): a key of the document's set of shingles, its size, and its first shingles, rare ones first.
+
+    The order is that of the sampled counts, then of the hashes. Any order that is the same for all finds every pair; this
+    one keeps shingles that many documents share out of the prefixes.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = np.array([fingerprint(shingle_hashes(t, words)) for t in texts], dtype=np.uint64)
-            wide = np.array([wide_fingerprint(t, set_words) for t in texts], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["doc_id", "fp", "text_hash", "g0", "g1"])
+            sets = [set_hashes(t.as_py(), words) for t in batch.column(1)]
+            nids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            first = []
+            for x in sets:
+                often = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    often = np.where(known[at] == x, counts[at], 0)
+                first.append(x[np.argsort(often, kind="stable")[: prefix_length(len(x), similarity)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nids), pa.array([len(x) for x in sets], pa.int32()), _lists(first)], names=["doc_id", "text_hash", "nid", "n", "prefix"])
+
+    return spread(docs.select("doc_id", "text", text_hash().alias("text_hash"))).mapInArrow(run, "doc_id long, text_hash long, nid long, n int, prefix array<long>")
+
+
+def candidate_pairs(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a < b: sets of ``prints(nid, n, prefix)`` that share a shingle of their prefixes and can be similar by size and place.
 
-    return spread(docs.select("doc_id", "text", text_hash().alias("text_hash"))).mapInArrow(run, "doc_id long, fp long, text_hash long, g0 long, g1 long")
+    No pair of that similarity is missed: with both sets in one order, the first shingle they share is in both prefixes.
+    """
+    tokens = prints.select("nid", "n", "prefix").dropDuplicates(["nid"]).select("nid", "n", F.posexplode("prefix").alias("at", "s"))
+    shared = tokens.withColumn("holders", F.count("*").over(Window.partitionBy("s"))).where(F.col("holders") > 1)
+    shared = materialise(shared.select("s", "nid", "n", (F.col("n") - F.col("at")).alias("left")), "simhash-shared")
+    side = lambda k: shared.select(F.col("s").alias(f"s_{k}"), F.col("nid").alias(k), F.col("n").alias(f"n_{k}"), F.col("left").alias(f"left_{k}"))
+    least = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9  # shingles that similar sets share
+    near = (F.col("s_a") == F.col("s_b")) & (F.col("a") < F.col("b")) & (F.least("left_a", "left_b") >= least)
+    return side("a").join(side("b"), near).select("a", "b").distinct()
+
+
+def similar_pairs(docs: DataFrame, prints: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
+    """(a, b) of ``nodes(nid, doc_id, text_hash)`` whose shingle sets are similar: all of them."""
+    pairs = materialise(candidate_pairs(prints, similarity), "simhash-candidates")
+    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+    wanted = ends.join(nodes, "nid").select("nid", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    texts = docs.select("doc_id", "text").join(wanted, (text_hash() == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    known = materialise(with_sets(texts.select("nid", "text").dropDuplicates(["nid"]), words), "simhash-shingles")
+    side = lambda k: known.select(F.col("key").alias(k), F.col("shingles").alias(f"s_{k}"))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
+    return met.where(F.col("shared") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("shared")) - 1e-9).select("a", "b")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; of rows equal in id and text, one stays.
 
-    Documents whose fingerprints link are a group. Of each group its smallest id goes on to a second search, by fingerprints of
-    128 bits over the sets of five-word shingles, whose candidates are compared exactly: those that share
-    ``similarity`` of their shingles are one group as well.
+    Documents whose fingerprints link are a group. Of each group its smallest id goes on to a second, complete search: those
+    that share ``similarity`` of their different five-word shingles are one group as well.
     """
     ready(docs.sparkSession)
-    found = components_of(materialise(with_wide_fingerprints(docs), "simhash-prints"))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash", "g0", "g1").distinct()
-    nodes = materialise(first.withColumn("nid", F.monotonically_increasing_id()), "simhash-nodes")
-    linked = ranked_components(similar_pairs(docs, nodes, similarity), nodes.select("nid", "doc_id"), "nid", "doc_id")
+    found = simhash_components(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first_id"), F.col("text_hash").alias("__first_hash")).distinct()
+    left = docs.join(first, (text_hash() == F.col("__first_hash")) & F.col("doc_id").eqNullSafe(F.col("__first_id")), "left_semi")
+    prints = materialise(shingle_prefixes(left, similarity), "simhash-sets")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    nodes = materialise(prints.groupBy("nid").agg(least).select("nid", "first.doc_id", "first.text_hash"), "simhash-nodes")
+    linked = ranked_components(similar_pairs(docs, prints, nodes, similarity), nodes.select("nid", "doc_id"), "nid", "doc_id")
     gone = linked.where(F.col("nid") != F.col("root_key")).select("nid")
     kept = nodes.join(gone, "nid", "left_anti").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
     once = docs.withColumn("__text_hash", text_hash()).dropDuplicates(["doc_id", "__text_hash"])

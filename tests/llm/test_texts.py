@@ -225,6 +225,27 @@ def test_similar_texts_are_one_group(spark):
     assert sum(int(x).bit_count() for x in (a ^ b).astype(np.uint64)) <= 26
 
 
+def altered(words, n, rng, tag):
+    """``words`` with ``n`` of them, not near one another, replaced."""
+    own = list(words)
+    for at in rng.choice(np.arange(10, len(words) - 10, 10), n, replace=False):
+        own[at] = f"{tag}x{at}"
+    return own
+
+
+def test_no_pair_at_the_set_similarity_is_missed(spark):
+    rng = np.random.default_rng(21)
+    texts, pairs = [], []
+    for i in range(60):  # six replaced words of 300 change thirty shingles of 296
+        base = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+        texts += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(altered(base, 5 + i % 2, rng, f"n{i}")))]
+        a, b = (simhash.shingle_set(t) for _, t in texts[-2:])
+        pairs.append(len(a & b) / len(a | b))
+    assert 0.80 <= min(pairs) and max(pairs) <= 0.85
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(60)}
+
+
 def test_simhash_query(spark, sf):
     texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
     found = {r.doc_id: r for r in simhash.op6_simhash_anchor_cover(spark, sf).collect()}
