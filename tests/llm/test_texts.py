@@ -233,6 +233,11 @@ def altered(words, n, rng, tag):
     return own
 
 
+def similar(a, b):
+    a, b = (simhash.shingle_set(" ".join(own)) for own in (a, b))
+    return len(a & b) / len(a | b)
+
+
 def test_no_pair_at_the_set_similarity_is_missed(spark):
     rng = np.random.default_rng(21)
     texts, pairs = [], []
@@ -246,6 +251,17 @@ def test_no_pair_at_the_set_similarity_is_missed(spark):
     assert kept == {2 * i for i in range(60)}
 
 
+def test_chain_through_fingerprints_reaches_the_similar(spark):
+    """Equal fingerprints of 1 and 2 hide no text that is like 2 alone."""
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 400)]
+    bits = lambda own: simhash.fingerprint(simhash.shingle_hashes(" ".join(own)))
+    other = next(o for o in (altered(base, 2, rng, f"o{i}") for i in range(2000)) if (bits(o) ^ bits(base)).bit_count() <= 4)
+    like = next(o for o in (altered(other, 8, rng, f"l{i}") for i in range(2000)) if (bits(o) ^ bits(base)).bit_count() > 4 and (bits(o) ^ bits(other)).bit_count() > 4 and similar(o, other) >= 0.8 > similar(o, base))
+    texts = [(i, " ".join(own)) for i, own in enumerate((base, other, like), 1)]
+    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()] == [1]
+
+
 def test_simhash_query(spark, sf):
     texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
     found = {r.doc_id: r for r in simhash.op6_simhash_anchor_cover(spark, sf).collect()}
