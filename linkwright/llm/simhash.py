@@ -280,19 +280,15 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, nodes: DataFrame, similari
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; of rows equal in id and text, one stays.
 
-    Documents whose fingerprints link are a group, and so are those that share ``similarity`` of their different five-word
-    shingles; every different set of shingles is compared, whatever group it is in, and groups come from both kinds of links.
+    A group are those that share ``similarity`` of their different five-word shingles, also through others. A close fingerprint
+    alone removes nothing: with repeats in it, it may stand for quite another text. Since the search misses no similar pair,
+    it holds all links by fingerprints that the comparison confirms, and no fingerprints are needed.
     """
     ready(docs.sparkSession)
     prints = materialise(shingle_prefixes(docs, similarity), "simhash-sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = materialise(prints.groupBy("nid").agg(least).select("nid", "first.doc_id", "first.text_hash"), "simhash-nodes")
-    one = prints.select("doc_id", "text_hash", "nid").distinct().withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__none", F.col("doc_id").isNull())
-    of = simhash_components(docs).select("text_hash", F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), "component_id").distinct()
-    members = one.join(of, ["text_hash", "__id", "__none"]).where(F.col("component_id").isNotNull()).select("component_id", "nid").distinct()
-    links = members.join(members.groupBy("component_id").agg(F.min("nid").alias("b")), "component_id").select(F.col("nid").alias("a"), "b").where("a <> b")
-    links = links.unionByName(similar_pairs(docs, prints, nodes, similarity))
-    linked = ranked_components(links, nodes.select("nid", "doc_id"), "nid", "doc_id")
+    linked = ranked_components(similar_pairs(docs, prints, nodes, similarity), nodes.select("nid", "doc_id"), "nid", "doc_id")
     gone = linked.where(F.col("nid") != F.col("root_key")).select("nid")
     kept = nodes.join(gone, "nid", "left_anti").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
     once = docs.withColumn("__text_hash", text_hash()).dropDuplicates(["doc_id", "__text_hash"])

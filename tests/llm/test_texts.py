@@ -262,6 +262,19 @@ def test_chain_through_fingerprints_reaches_the_similar(spark):
     assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()] == [1]
 
 
+def test_repeats_remove_no_other_text(spark):
+    rng = np.random.default_rng(9)
+    phrase = "these five words come back".split()
+    texts = []
+    for i in range(1, 7):  # 600 of 1,000 words are one phrase
+        own = [f"w{x}" for x in rng.integers(0, 50_000, 400)]
+        texts.append((i, " ".join(own[:200] + phrase * 120 + own[200:])))
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t)) for _, t in texts]
+    assert all((p ^ prints[0]).bit_count() <= 4 for p in prints)
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 3, 4, 5, 6]
+
+
 def test_simhash_query(spark, sf):
     texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
     found = {r.doc_id: r for r in simhash.op6_simhash_anchor_cover(spark, sf).collect()}
