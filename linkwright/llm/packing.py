@@ -17,6 +17,8 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,26 +33,47 @@ END_ID = 2
 _ENCODERS: dict = {}
 
 
-def byte_bpe(path: str | None = None):
+class ByteBpe:
     """Byte-level BPE encoder of the 50k vocabulary: the ids of ``tokenizers`` with byte_bpe_50k.json.
 
-    The rank file holds the same vocabulary, and its encoder gives the same ids several times as
-    fast (tests compare the two). Special tokens' strings in a text are ordinary text.
+    The rank file holds the same vocabulary, and its encoder gives the same ids several times as fast. Its pattern fails on
+    white space of about a million characters; a text that it refuses goes to ``tokenizers`` (tests compare the
+    two). Special tokens' strings in a text are ordinary text.
     """
-    import public_tokenizers
-    import tiktoken
 
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path not in _ENCODERS:
-        with open(path, "rb") as lines:
+    def __init__(self, path: str | None):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.whole_path = str(Path(path).with_suffix(".json")) if path else public_tokenizers.path("byte_bpe_50k.json")
+
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.whole_path)
+        own.encode_special_tokens = True
+        return own
+
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        except ValueError:  # the pattern's stack is full
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+def byte_bpe(path: str | None = None) -> ByteBpe:
+    """The encoder; ``path`` is another rank file, beside which its .json lies."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ByteBpe(path)
     return _ENCODERS[path]
 
 
-def token_ids(text: str | None, encoder, end_id: int = END_ID) -> np.ndarray:
-    ids = encoder.encode_to_numpy(text or "", allowed_special=set(), disallowed_special=())
-    return np.append(ids.astype("<u4"), np.array([end_id], "<u4"))
+def token_ids(text: str | None, encoder: ByteBpe, end_id: int = END_ID) -> np.ndarray:
+    return np.append(encoder.encode(text or "").astype("<u4"), np.array([end_id], "<u4"))
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:

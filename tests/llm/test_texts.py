@@ -65,6 +65,15 @@ def test_packing_on_odd_rows(docs, no_docs):
     assert rows(packing.pack_documents(no_docs)) == []
 
 
+def test_long_white_space_is_encoded():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000, "a" + "\n" * 1_200_000 + "b", "x" * 300_000):
+        assert packing.token_ids(text, packing.byte_bpe()).tolist() == whole.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_packing_keeps_ids(docs):
     found = packing.pack_documents(docs.where("doc_id = 10"), with_ids=True).first()
     assert found.ids[-1] == 2 and len(found.ids) == found.length
