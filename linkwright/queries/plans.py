@@ -15,8 +15,8 @@ from linkwright.queries.texts import FEATURES, _records, _weights
 
 QUERIES, SQL = {}, {}
 
-#: Words of a document that stand for a name, and the next ones that stand for an address.
-NAME_WORDS, ADDRESS_WORDS = 6, 14
+#: Words of a document that stand for a name; all others stand for an address.
+NAME_WORDS = 6
 FLAGSHIP = {"name": Channel({"name": 1.0}, 10), "gram": Channel({"gram": 1.0}, 10), "combo": Channel({"name": 0.5, "addr": 0.5}, 10)}
 
 
@@ -31,12 +31,12 @@ def query(sql: str | None):
 
 
 def document_records(spark, sf_dir):
-    """Documents as records: language for country, every fourth a query, first words for name and address."""
+    """Documents as records: language for country, every fourth a query, first words for name, all others for address."""
     docs = read(spark, sf_dir, "documents")
-    words = F.split(F.coalesce("text", F.lit("")), r"\s+", NAME_WORDS + ADDRESS_WORDS + 1)  # the rest stays whole
+    words = F.split(F.coalesce("text", F.lit("")), r"\s+", NAME_WORDS + 1)  # the rest stays whole
     return docs.select(
         F.col("doc_id").alias("rid"), F.coalesce("lang", F.lit("")).alias("country"), (F.col("doc_id") % 4 == 0).alias("is_query"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(2).alias("src"),
-        F.array_join(F.slice(words, 1, NAME_WORDS), " ").alias("name"), F.array_join(F.slice(words, NAME_WORDS + 1, ADDRESS_WORDS), " ").alias("address"),
+        F.array_join(F.slice(words, 1, NAME_WORDS), " ").alias("name"), F.coalesce(F.try_element_at(words, F.lit(NAME_WORDS + 1)), F.lit("")).alias("address"),
     )
 
 
