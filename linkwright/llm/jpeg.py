@@ -6,8 +6,8 @@ luminance thumbnail, one pixel a block. Dimensions and thumbnail hashes are stor
 
 ``encode_payload`` stores bytes losslessly in the format's own unit, the quantised coefficient: 64 bytes are
 a block in zigzag order, each a coefficient of magnitude 128 to 255, whose eight magnitude bits are the byte. With
-a restart marker after every block each DC term stands for itself. Width is at most ``ROW`` blocks; blocks beyond the
-payload are zero bytes, and a comment holds the payload's length.
+a restart marker after every block each DC term stands for itself. Width is at most ``ROW`` blocks, or more where the height
+would be over ``MOST_SIDE``, the format's limit for both; blocks beyond the payload are zero bytes, and a comment holds the payload's length.
 
 Nulls: a null text is an empty one, one block of zero bytes; a null or damaged image has null features in
 ``media_features`` and an ``error``. Empty table: no rows. Equal texts give equal media.
@@ -30,7 +30,8 @@ from linkwright.llm.common import chunks, ready, spread, table
 
 ROW = 64
 BLOCK = 64
-MOST_BLOCKS = ROW * 8191
+MOST_SIDE = 8191
+MOST_BLOCKS = MOST_SIDE**2
 CHUNK = 2 << 20
 SOI, EOI, SOF0, DHT, DQT, DRI, SOS, COM = 0xD8, 0xD9, 0xC0, 0xC4, 0xDB, 0xDD, 0xDA, 0xFE
 PAYLOAD = b"payload "
@@ -77,12 +78,18 @@ def _scan(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
+def shape_of(n: int) -> tuple[int, int]:
+    """Blocks across and down for ``n`` blocks."""
+    across = min(n, max(ROW, -(-n // MOST_SIDE)))
+    return across, -(-n // across)
+
+
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     """A baseline JPEG for each payload (a positive multiple of 64 bytes)."""
     counts = [len(p) // BLOCK for p in payloads]
     if any(n > MOST_BLOCKS for n in counts):
         raise ValueError(f"a payload has over {MOST_BLOCKS * BLOCK} bytes")
-    shapes = [(min(n, ROW), -(-n // min(n, ROW))) for n in counts]
+    shapes = [shape_of(n) for n in counts]
     full = b"".join(p + bytes((w * h - n) * BLOCK) for p, n, (w, h) in zip(payloads, counts, shapes))
     scan, ends = _scan(np.frombuffer(full, np.uint8).reshape(-1, BLOCK))
     out, block, start = [], 0, 0

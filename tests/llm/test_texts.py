@@ -397,6 +397,14 @@ def test_payloads_come_back():
     assert all(len(p) % 64 == 0 and p for p in payloads)
 
 
+def test_payload_beyond_the_usual_width_comes_back():
+    assert jpeg.shape_of(64 * 8191) == (64, 8191) and jpeg.shape_of(8191 * 8191) == (8191, 8191)
+    payload = os.urandom(64 * 1000) * 525  # 525,000 blocks
+    assert jpeg.shape_of(len(payload) // 64)[0] == 65
+    image = jpeg.parse(jpeg.encode_payloads([payload])[0])
+    assert image.width == 8 * 65 and jpeg.payload_of(image, jpeg.coefficients([image])[0]) == payload
+
+
 def test_zigzag_is_the_standard_order():
     assert jpeg.zigzag()[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(jpeg.zigzag()) == list(range(64))
 
