@@ -15,6 +15,8 @@ Empty table: no rows. Repeated rows are packed each. Ties of length go by rank.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
@@ -36,9 +38,9 @@ _ENCODERS: dict = {}
 class ByteBpe:
     """Byte-level BPE encoder of the 50k vocabulary: the ids of ``tokenizers`` with byte_bpe_50k.json.
 
-    The rank file holds the same vocabulary, and its encoder gives the same ids several times as fast. Its pattern fails on
-    white space of about a million characters; a text that it refuses goes to ``tokenizers`` (tests compare the
-    two). Special tokens' strings in a text are ordinary text.
+    The rank file holds the same vocabulary, and its encoder gives the same ids several times as fast. Two kinds of texts go to
+    ``tokenizers`` itself: those that hold the string of an added token, which is one id there, and those that the rank
+    file's pattern refuses (white space of about a million characters). Tests compare the two.
     """
 
     def __init__(self, path: str | None):
@@ -49,20 +51,22 @@ class ByteBpe:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole_path = str(Path(path).with_suffix(".json")) if path else public_tokenizers.path("byte_bpe_50k.json")
+        added = [t["content"] for t in json.loads(Path(self.whole_path).read_text(encoding="utf-8")).get("added_tokens", [])]
+        self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
 
     @cached_property
     def whole(self):
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(self.whole_path)
-        own.encode_special_tokens = True
-        return own
+        return Tokenizer.from_file(self.whole_path)
 
     def encode(self, text: str) -> np.ndarray:
-        try:
-            return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
-        except ValueError:  # the pattern's stack is full
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+        if not self.holds_added(text):
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+            except ValueError:  # the pattern's stack is full
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def byte_bpe(path: str | None = None) -> ByteBpe:
