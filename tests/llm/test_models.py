@@ -151,12 +151,28 @@ def test_classifiers_without_labels_or_rows(spark, labelled_docs, module):
 
 def test_sample_is_bounded_and_leaves_the_held_out_fold(spark, labelled_docs):
     docs, labels = labelled_docs
-    texts, y, prior = labelled.sample(docs, labels, "toxic", per_class=30, longest=2000)
+    texts, y, prior = labelled.sample(docs, labels, "toxic", per_class=30)
     assert np.bincount(y).max() <= 30 and 0.15 < prior < 0.45 and len(texts) == len(y)
     held = {r.text for r in docs.where(labelled.held_out()).collect()}
     assert len([t for t in texts if t in held]) < 5  # equal texts of other ids
 
 
+def test_sample_takes_labelled_documents_alone(spark, labelled_docs):
+    """Neither labels of documents that aren't there nor long texts of a class thin out the sample."""
+    docs, labels = labelled_docs
+    others = spark.range(10_000, 90_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    texts, y, prior = labelled.sample(docs, labels, "quality")
+    more = labelled.sample(docs, labels.unionByName(others), "quality")
+    assert more[0] == texts and (more[1] == y).all() and more[2] == prior and len(texts) > 300
+    half = docs.where("doc_id < 200")  # as a later stage of a pipeline gets them
+    assert len(labelled.sample(half, labels, "quality", per_class=150)[0]) > 120
+    long = docs.join(labels.select("doc_id", "quality"), "doc_id").withColumn("text", F.when(F.col("quality") == 1, F.repeat("text", 400)).otherwise(F.col("text")))
+    texts, y, _ = labelled.sample(long, labels, "quality")
+    assert y.sum() > 150 and min(len(t) for t, q in zip(texts, y) if q) > 65_536
+    texts, y, _ = labelled.sample(long, labels, "quality", class_bytes=1 << 20)
+    assert 2 <= y.sum() <= 16 and (y == 0).sum() > 60
+
+
 @pytest.mark.parametrize("op,label", [(quality.op5_quality_random_indexing, "quality"), (toxicity.op9_toxicity_kneser_ney, "toxic")])
 def test_classifier_queries(spark, op, label):
     sf = "/root/testdata/sf0.01"
