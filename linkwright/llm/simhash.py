@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import materialise, ready, spread, table
-from linkwright.llm.graph import ranked_components
+from linkwright.llm.graph import connected_components, ranked_components
 
 SEED = 42
 WORDS = 4
@@ -74,16 +74,6 @@ def shingle_set(text: str | None, words: int = SET_WORDS) -> set[bytes]:
     return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
 
 
-def wide_fingerprint(text: str | None, words: int = SET_WORDS) -> tuple[int, int]:
-    """Two halves of a 128-bit fingerprint of the set of shingles."""
-    own = list(shingle_set(text, words))
-    counts = np.zeros(128, np.int64)
-    for i in range(0, len(own), BLOCK):
-        digests = b"".join(map(xxhash.xxh3_128_digest, own[i : i + BLOCK]))
-        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
-    return tuple(np.packbits(counts * 2 > len(own)).view("<i8").tolist()) if own else (0, 0)
-
-
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, text_hash): the fingerprint as a signed long, and a hash that tells rows of one doc_id apart."""
 
@@ -250,49 +240,97 @@ def shingle_prefixes(docs: DataFrame, similarity: float = SIMILARITY, words: int
     return spread(docs.select("doc_id", "text", text_hash().alias("text_hash"))).mapInArrow(run, "doc_id long, text_hash long, nid long, n int, prefix array<long>")
 
 
-def candidate_pairs(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b: sets of ``prints(nid, n, prefix)`` that share a shingle of their prefixes and can be similar by size and place.
+def could_be(similarity: float, a: str, b: str) -> Column:
+    """Whether sets can be that similar by their sizes and the places in them of a shingle that both hold."""
+    least = similarity / (1 + similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-9  # shingles that similar sets share
+    return F.least(f"{a}.left", f"{b}.left") >= least
+
 
-    No pair of that similarity is missed: with both sets in one order, the first shingle they share is in both prefixes.
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """(s, own, hub) of ``nodes(nid, n, prefix)`` for prefix shingles that several sets hold.
+
+    ``own`` and ``hub`` are (nid, n, left): a holder, and the one with the smallest nid; ``left`` counts the shingles from this one on.
     """
-    tokens = prints.select("nid", "n", "prefix").dropDuplicates(["nid"]).select("nid", "n", F.posexplode("prefix").alias("at", "s"))
-    shared = tokens.withColumn("holders", F.count("*").over(Window.partitionBy("s"))).where(F.col("holders") > 1)
-    shared = materialise(shared.select("s", "nid", "n", (F.col("n") - F.col("at")).alias("left")), "simhash-shared")
-    side = lambda k: shared.select(F.col("s").alias(f"s_{k}"), F.col("nid").alias(k), F.col("n").alias(f"n_{k}"), F.col("left").alias(f"left_{k}"))
-    least = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9  # shingles that similar sets share
-    near = (F.col("s_a") == F.col("s_b")) & (F.col("a") < F.col("b")) & (F.least("left_a", "left_b") >= least)
-    return side("a").join(side("b"), near).select("a", "b").distinct()
-
-
-def similar_pairs(docs: DataFrame, prints: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
-    """(a, b) of ``nodes(nid, doc_id, text_hash)`` whose shingle sets are similar: all of them."""
-    pairs = materialise(candidate_pairs(prints, similarity), "simhash-candidates")
+    one = F.struct("nid", "n", (F.col("n") - F.col("at")).alias("left"))
+    tokens = nodes.select("nid", "n", F.posexplode("prefix").alias("at", "s")).select("s", one.alias("own"))
+    groups = tokens.groupBy("s").agg(F.min("own").alias("hub"), F.count("*").alias("holders")).where("holders > 1").select("s", "hub")
+    return materialise(tokens.join(groups, "s"), "simhash-shared")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts, ``texts(nid, text)``, have similar sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            ids, others, keep = batch.column(0).to_pylist(), batch.column(1), []
+            for i, (a, text, other) in enumerate(zip(ids, batch.column(2), batch.column(3))):
+                if a != last:
+                    last, own = a, set_hashes(text.as_py(), words)
+                its = set_hashes(other.as_py(), words)
+                both = len(np.intersect1d(own, its, assume_unique=True))
+                if both >= similarity * (len(own) + len(its) - both) - 1e-9:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), others.take(pa.array(keep, pa.int32()))], names=["a", "b"])
+
+    side = lambda k: texts.select(F.col("nid").alias(k), F.col("text").alias(f"t_{k}"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")  # sorted by a: its set is made once a run
+    return materialise(met.mapInArrow(run, "a long, b long"), "simhash-similar")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(nid, text), one row for each end of ``pairs``."""
     ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    wanted = ends.join(nodes, "nid").select("nid", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    texts = docs.select("doc_id", "text").join(wanted, (text_hash() == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    known = materialise(with_sets(texts.select("nid", "text").dropDuplicates(["nid"]), words), "simhash-shingles")
-    side = lambda k: known.select(F.col("key").alias(k), F.col("shingles").alias(f"s_{k}"))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
-    return met.where(F.col("shared") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("shared")) - 1e-9).select("a", "b")
+    wanted = materialise(ends.join(nodes, "nid").select("nid", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "simhash-wanted")  # of known size: broadcast where small
+    rows = docs.select("doc_id", "text").join(wanted, (text_hash() == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return rows.select("nid", "text").dropDuplicates(["nid"])
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
+    """(a, b) of ``nodes(nid, doc_id, text_hash, n, prefix)``: similar sets, and enough of them to join all that are joined by any.
+
+    Two similar sets share a shingle of their prefixes. First each holder of a shingle is compared with the holder of the smallest
+    nid alone, which joins most of a group of copies by one comparison for each. Then holders that are still in
+    different components are compared, all of them; pairs inside a component have nothing to add.
+    """
+    shared = shared_shingles(nodes)
+    first = shared.where((F.col("own.nid") != F.col("hub.nid")) & could_be(similarity, "own", "hub")).select(F.col("hub.nid").alias("a"), F.col("own.nid").alias("b"))
+    first = materialise(first.distinct(), "simhash-first")
+    links = confirmed(first, texts_of(docs, nodes, first), similarity, words)
+
+    root = connected_components(links).select(F.col("node").alias("nid"), "root")
+    rooted = shared.select("s", "own", F.col("own.nid").alias("nid")).join(root, "nid", "left").select("s", "own", F.coalesce("root", "nid").alias("root"))
+    rooted = materialise(rooted, "simhash-rooted")
+    open_ = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
+    held = rooted.join(open_, "s")
+    side = lambda k: held.select("s", F.col("own").alias(k), F.col("root").alias(f"root_{k}"))
+    met = side("x").join(side("y"), "s").where((F.col("root_x") < F.col("root_y")) & could_be(similarity, "x", "y"))
+    rest = met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = materialise(rest, "simhash-rest")
+    return links.unionByName(confirmed(rest, texts_of(docs, nodes, rest), similarity, words))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; of rows equal in id and text, one stays.
 
     A group are those that share ``similarity`` of their different five-word shingles, also through others. A close fingerprint
-    alone removes nothing: with repeats in it, it may stand for quite another text. Since the search misses no similar pair,
-    it holds all links by fingerprints that the comparison confirms, and no fingerprints are needed.
+    alone removes nothing: with repeats in it, it may stand for quite another text. Since the search misses no group,
+    it holds all links by fingerprints that the comparison confirms, and no fingerprints are needed. Rows of one id with
+    different texts are documents of their own: of two that are similar the one with the smaller text hash stays.
     """
     ready(docs.sparkSession)
-    prints = materialise(shingle_prefixes(docs, similarity), "simhash-sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    nodes = materialise(prints.groupBy("nid").agg(least).select("nid", "first.doc_id", "first.text_hash"), "simhash-nodes")
-    linked = ranked_components(similar_pairs(docs, prints, nodes, similarity), nodes.select("nid", "doc_id"), "nid", "doc_id")
+    prints = shingle_prefixes(docs, similarity, words)
+    nodes = materialise(prints.groupBy("nid").agg(least, F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")).select("nid", "first.doc_id", "first.text_hash", "n", "prefix"), "simhash-nodes")
+    linked = ranked_components(similar_links(docs, nodes, similarity, words), nodes.select("nid", "doc_id"), "nid", "doc_id")
     gone = linked.where(F.col("nid") != F.col("root_key")).select("nid")
-    kept = nodes.join(gone, "nid", "left_anti").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
-    once = docs.withColumn("__text_hash", text_hash()).dropDuplicates(["doc_id", "__text_hash"])
-    return once.join(kept, (F.col("__text_hash") == F.col("__kept_hash")) & F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").drop("__text_hash")
+    kept = materialise(nodes.join(gone, "nid", "left_anti").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")), "simhash-kept")
+    same = (text_hash() == F.col("__kept_hash")) & F.col("doc_id").eqNullSafe(F.col("__kept_id"))
+    keys = docs.select("doc_id", text_hash().alias("__kept_hash")).groupBy("doc_id", "__kept_hash").agg(F.count("*").alias("rows"))
+    repeated = materialise(keys.where("rows > 1").select(F.col("doc_id").alias("__kept_id"), "__kept_hash"), "simhash-repeated")
+    stay = docs.join(kept, same, "left_semi")
+    once = stay.join(repeated, same, "left_semi").withColumn("__text_hash", text_hash()).dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+    return stay.join(repeated, same, "left_anti").unionByName(once)
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -195,13 +195,14 @@ def test_pipeline_by_stages(spark, sf):
         if name == "near_duplicates":
             ids = sorted(before)
             prints = [simhash.fingerprint(simhash.shingle_hashes(before[i].text)) for i in ids]
-            from tests.llm.test_texts import brute_components
+            from tests.llm.test_texts import brute_components, brute_kept
 
             first = [i for i, c in zip(ids, brute_components(ids, prints, 4)) if i == c]
             sets = {i: simhash.shingle_set(before[i].text) for i in first}
             alike = {i: [j for j in first if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in first}
             assert set(after) <= set(first) and all(min(alike[i]) < i or len(alike[i]) > 1 for i in set(first) - set(after))
             assert all(i in after for i in first if alike[i] == [i])
+            assert set(after) == brute_kept([(i, before[i].text) for i in ids])
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == set(after) and len(after) < rows
 
