@@ -9,8 +9,13 @@ and gets ``ENLARGED``. Of the graph, the edges at the threshold are kept.
 Where lists are full of links, a node has more links than places. So links are counted inside each component of the
 threshold graph: its members are dealt into blocks, and blocks are compared in pairs. That returns counts, never the
 pairs, and its cost grows with the square of a component's size over ``BLOCK``. The search is approximate in what
-it finds, never in what it states: every link has been compared in double precision. ``audit`` compares ``QUERIES``
-nodes with all rows; below ``RECALL`` the search is repeated with twice the orderings.
+it finds, never in what it states: every link has been compared in double precision.
+
+``audit`` compares nodes with all rows, ids divisible by 20 first, until ``LEAST_LINKED`` of them have links or all nodes
+(``MOST_QUERIES`` at most) have been asked. Recall is the mean over single nodes that have a link, worked out apart for
+small and for large components, and the least counts: many links of a few large groups can't hide what was missed
+elsewhere. It is taken of the result and of the graph's own edges. Below ``RECALL`` the search is repeated with twice the
+orderings, and beyond ``MOST_ORDERS`` an exact blockwise search of each label takes its place.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with nothing. Vectors
 of different lengths don't link. Repeated rows and equal vectors link with each other. Empty table: no rows.
@@ -18,6 +23,7 @@ of different lengths don't link. Repeated rows and equal vectors link with each
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +41,23 @@ ROUNDS = 3
 #: A round that changes a smaller share of the lists' places is the last.
 STILL = 0.002
 BLOCK, LEAST_BLOCK, MOST_PARTS = 512, 32, 32
-QUERIES, RECALL = 256, 0.95
+#: Nodes asked by the audit at first and at most, linked ones that are enough, and the recall that is.
+QUERIES, MOST_QUERIES, LEAST_LINKED, RECALL = 1_024, 16_384, 200, 0.95
+#: Orderings beyond which the exact search takes over.
+MOST_ORDERS = 32
+#: Nodes of a label from which on each doubling adds two orderings.
+FEW = 16_384
+#: Nodes of a component up to which it counts as small in the audit.
+SMALL = 32
 
 
 def _units(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Binary vectors (doubles) of one length as unit rows."""
+    """Binary vectors (doubles) of one length as unit rows; scaled first, so that no square overflows or vanishes."""
     rows = vectors.to_pylist()
     x = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+    if not x.size:
+        return x
+    x = x / np.ldexp(1.0, np.frexp(np.abs(x).max(1, keepdims=True))[1] - 1)  # a power of two: exact
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -126,13 +142,16 @@ def first_edges(nodes: DataFrame, orders: int, threshold: float) -> DataFrame:
             carry = now.slice(max(0, now.num_rows - AROUND))
 
     signs = nodes.select("rid", "kin", "vec").mapInArrow(signed, "k long, kin long, sign long, rid long, vec binary")
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.sparkSession.sparkContext.defaultParallelism)
     keys = ["k", "kin", "sign", "rid"]
-    return signs.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(met, "a long, b long, sim double").dropDuplicates(["a", "b"])
+    return signs.repartitionByRange(_tasks(nodes), *keys).sortWithinPartitions(*keys).mapInArrow(met, "a long, b long, sim double").dropDuplicates(["a", "b"])
 
 
 def best(edges: DataFrame, threshold: float) -> DataFrame:
-    """(a, list): each node's best neighbours, more of them if the places of an ordinary list all hold links."""
+    """(a, list): each node's best neighbours, more of them if the places of an ordinary list all hold links.
+
+    What one node gathers is bounded: it meets the members of the lists at which it is one, at most
+    ``ENLARGED + 2 * NEIGHBOURS`` lists of that many members, or ``2 * AROUND`` of each ordering.
+    """
     ordered = F.sort_array(F.collect_set(F.struct("sim", "b")), asc=False)
     lists = edges.groupBy("a").agg(ordered.alias("met"))
     saturated = F.coalesce(F.try_element_at("met", F.lit(NEIGHBOURS))["sim"] >= threshold, F.lit(False))
@@ -171,8 +190,7 @@ def join_neighbours(nodes: DataFrame, lists: DataFrame) -> DataFrame:
             code, at = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(code[:, 0]), pa.array(code[:, 1]), pa.array(s[at])], names=["a", "b", "sim"])
 
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, "at").sortWithinPartitions("at").mapInArrow(met, "a long, b long, sim double").dropDuplicates(["a", "b"])
+    return rows.repartition(_tasks(nodes), "at").sortWithinPartitions("at").mapInArrow(met, "a long, b long, sim double").dropDuplicates(["a", "b"])
 
 
 def descend(nodes: DataFrame, orders: int, threshold: float, rounds: int = ROUNDS) -> DataFrame:
@@ -220,50 +238,111 @@ def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFra
                     total[s:e] = linked @ n[s:e]
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(total.astype(np.int64))], names=["rid", "others"])
 
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.sparkSession.sparkContext.defaultParallelism)
-    counted = rows.select("key", "rid", "own", "two", "low", "n", "vec").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(count, "rid long, others long")
+    counted = rows.select("key", "rid", "own", "two", "low", "n", "vec").repartition(_tasks(nodes), "key").sortWithinPartitions("key").mapInArrow(count, "rid long, others long")
     return counted.groupBy("rid").agg(F.sum("others").alias("others"))
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, queries: int = QUERIES) -> float:
-    """Share of the true links of sampled nodes that were found; the sample, of bounded size, is compared with all rows."""
-    spark = nodes.sparkSession
-    asked = nodes.orderBy(F.xxhash64("rid")).limit(queries).select("rid", "kin", "vec").collect()
-    if not asked:
-        return 1.0
-    sent = spark.sparkContext.broadcast([(r.rid, r.kin, bytes(r.vec)) for r in asked])
+def exact_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join all that any links join, by comparing all blocks of a label in pairs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kin, rid, n = b.column(1).to_numpy(), b.column(0).to_numpy(), b.column(2).to_numpy()
-            total = {}
-            for k in {q[1] for q in sent.value}:
-                at = np.flatnonzero(kin == k)
-                own = [q for q in sent.value if q[1] == k]
-                if len(at):
-                    linked = _units(b.column(3).take(pa.array(at))) @ _units(pa.array([q[2] for q in own], pa.binary())).T >= threshold
-                    linked &= rid[at][:, None] != np.array([q[0] for q in own])
-                    total |= {q[0]: int(c) for q, c in zip(own, n[at] @ linked)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["rid", "true"])
-
-    true = nodes.select("rid", "kin", "n", "vec").mapInArrow(run, "rid long, true long").groupBy("rid").agg(F.sum("true").alias("true"))
-    r = true.join(counted, "rid", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("others", F.lit(0)))).alias("f")).first()
-    return r.f / r.t if r.t else 1.0
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS, recall: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, audited_recall) for every row of ``vectors(vec_id, embedding, label)``."""
+    Each pair of blocks gives a spanning forest of its links, fewer than its nodes, however many links there are.
+    """
+    sizes = nodes.groupBy("kin").agg(F.count("*").alias("m"))
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    placed = nodes.select("rid", "kin").join(sizes, "kin").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = placed.select(F.xxhash64("kin", low, high).alias("key"), "rid").join(nodes.select("rid", "vec"), "rid")
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, ends in _by_key(batches):
+            rid, x = t.column("rid").to_numpy(), _units(t.column("vec"))
+            for s, e in zip(ends, ends[1:]):
+                linked = x[s:e] @ x[s:e].T >= threshold
+                left, out = np.ones(e - s, bool), []
+                for i in range(e - s):
+                    todo = [i] if left[i] else []
+                    left[i] = False
+                    while todo:
+                        at = todo.pop()
+                        new = np.flatnonzero(linked[at] & left)
+                        left[new] = False
+                        out.append(np.stack([np.full(len(new), rid[s + at]), rid[s + new]]))
+                        todo.extend(new.tolist())
+                a, b = np.concatenate(out, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.select("key", "rid", "vec").repartition(_tasks(nodes), "key").sortWithinPartitions("key").mapInArrow(forests, "a long, b long").distinct()
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
+def audit(nodes: DataFrame, links: DataFrame, roots: DataFrame, counted: DataFrame, threshold: float, queries: int = QUERIES) -> tuple[float | None, float | None, int]:
+    """Recall of the result, recall of the graph's own edges, and how many linked nodes they are taken from; None for none.
+
+    ``queries`` nodes, then four times as many and so on, are compared with all rows; they reach the driver and are broadcast.
+    Of a node with more links than an enlarged list has places, that many edges are all.
+    """
+    spark = nodes.sparkSession
+    sizes = roots.groupBy("root").agg(F.count("*").alias("m"))
+    ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("edges"))
+    while True:
+        asked = nodes.orderBy(F.col("first_id") % 20 != 0, F.xxhash64("rid")).limit(queries).select("rid", "kin", "vec").collect()
+        if not asked:
+            return None, None, 0
+        sent = spark.sparkContext.broadcast([(r.rid, r.kin, bytes(r.vec)) for r in asked])  # MOST_QUERIES vectors at most
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            by_kin: dict[int, tuple] = {}
+            for r, k, v in sent.value:
+                by_kin.setdefault(k, ([], []))[0].append(r)
+                by_kin[k][1].append(v)
+            by_kin = {k: (np.array(r), _units(pa.array(v, pa.binary()))) for k, (r, v) in by_kin.items()}
+            for b in batches:
+                kin, rid, n = b.column(1).to_numpy(), b.column(0).to_numpy(), b.column(2).to_numpy()
+                for k in np.intersect1d(kin, list(by_kin)):
+                    at, (own, x) = np.flatnonzero(kin == k), by_kin[k]
+                    linked = _units(b.column(3).take(pa.array(at))) @ x.T >= threshold
+                    linked &= rid[at][:, None] != own
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[at] @ linked), pa.array(linked.sum(0))], names=["rid", "true", "kinds"])
+
+        true = nodes.select("rid", "kin", "n", "vec").mapInArrow(run, "rid long, true long, kinds long").groupBy("rid").agg(F.sum("true").alias("true"), F.sum("kinds").alias("kinds")).where(F.col("true") > 0)
+        known = true.join(counted, "rid", "left").join(ends, "rid", "left").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").join(sizes, "root", "left")
+        share = F.least("true", F.coalesce("others", F.lit(0))) / F.col("true")
+        most = F.least("kinds", F.lit(ENLARGED))
+        edge_share = F.least(most, F.coalesce("edges", F.lit(0))) / most
+        bands = known.groupBy((F.coalesce("m", F.lit(0)) <= SMALL).alias("small")).agg(F.count("*").alias("k"), F.avg(share).alias("found"), F.avg(edge_share).alias("edges")).collect()  # two rows
+        linked = sum(r.k for r in bands)
+        if linked >= LEAST_LINKED or len(asked) < queries or queries >= MOST_QUERIES:
+            return (min(r.found for r in bands), min(r.edges for r in bands), linked) if bands else (None, None, 0)
+        queries = min(4 * queries, MOST_QUERIES)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, orders: int | None = None, recall: float = RECALL, most_orders: int = MOST_ORDERS) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audited_recall, graph_recall, audited_nodes) for every row of ``vectors(vec_id, embedding, label)``.
+
+    ``audited_recall`` is at least ``recall``, or null where no asked node has a link, or 1.0 after the exact search.
+    """
     ready(vectors.sparkSession)
     nodes = classes(vectors)
+    if orders is None:
+        largest = nodes.groupBy("kin").count().agg(F.max("count")).first()[0] or 0
+        orders = ORDERS + 2 * max(0, math.ceil(math.log2(max(largest, 1) / FEW)))
+    most_orders, exact = max(orders, most_orders), False
     while True:
-        links = descend(nodes, orders, threshold)
+        links = materialise(exact_links(nodes, threshold) if exact else descend(nodes, orders, threshold), "nn-links")
         linked = ranked_components(links, nodes.select("rid", "first_id"), "rid", "first_id")
         roots = materialise(linked.select(F.col("rid").alias("node"), F.col("root_key").alias("root"), "component_id"), "nn-roots")
         counted = materialise(count_links(nodes, roots, threshold), "nn-counts")
-        found = audit(nodes, counted, threshold)
-        if found >= recall or orders >= 4 * ORDERS:
+        if exact:
+            found = 1.0
+            break
+        found, of_graph, asked = audit(nodes, links, roots, counted, threshold)
+        if found is None or found >= recall:
             break
-        orders *= 2
+        exact, orders = orders >= most_orders, 2 * orders
     component = F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("first_id"))
     own = nodes.select("rid", "label", "embedding", "first_id", "n").join(roots, F.col("rid") == F.col("node"), "left").join(counted, "rid", "left")
     named = own.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), component.alias("component_id"))
@@ -271,7 +350,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, orders: in
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     joined = rows.join(named, (rows["label"] == named["l"]) & (rows["embedding"] == named["e"]), "left")
     component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(found).alias("audited_recall"))
+    figures = [F.lit(x).cast("double").alias(n) for x, n in ((found, "audited_recall"), (of_graph, "graph_recall"))] + [F.lit(asked).cast("long").alias("audited_nodes")]
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), *figures)
 
 
 def op1_nn_descent_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,66 @@ def test_blocks_count_every_link(spark):
     counted = nndescent.count_links(nodes, roots, 0.93).join(nodes, "rid").select("first_id", "others").collect()
     links = brute_links(rows)
     assert {r.first_id: r.others for r in counted} == {i: len(links[i]) for i in range(len(rows))}
-    assert nndescent.audit(nodes, nndescent.count_links(nodes, roots, 0.93), 0.93) == 1.0
+    pairs = nndescent.exact_links(nodes, 0.93)
+    assert nndescent.audit(nodes, pairs, roots, nndescent.count_links(nodes, roots, 0.93), 0.93)[0] == 1.0
+
+
+def test_large_and_small_values_link(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1.0001e200], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 5e-324], 0), (5, [1.7e308, 1.7e308], 0), (6, [1.0, -1.0], 0)]
+    found = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (4, 1) for i in range(1, 6)} | {6: (0, 6)}
+
+
+def test_audit_sees_what_was_missed(spark):
+    """One large group has most links; the pairs beside it are what the audit must not overlook."""
+    rng = np.random.default_rng(5)
+    hub = rng.normal(size=24)
+    rows = [(i, (hub + rng.normal(size=24) * 0.05).tolist(), 0) for i in range(400)]
+    for i in range(300):
+        x = rng.normal(size=24)
+        rows += [(1000 + 2 * i, x.tolist(), 0), (1001 + 2 * i, (x + rng.normal(size=24) * 0.05).tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes = nndescent.classes(common.ready(spark) and df)
+    full = common.materialise(nndescent.exact_links(nodes, 0.93), "test")
+    ids = {r.rid: r.first_id for r in nodes.collect()}
+    group = full.where(F.col("a").isin([k for k, v in ids.items() if v < 400]))
+    empty = spark.createDataFrame([], "rid long, others long")
+    for links, least in ((full, 1.0), (group, 0.0)):
+        roots = nndescent.ranked_components(links, nodes.select("rid", "first_id"), "rid", "first_id").select(F.col("rid").alias("node"), F.col("root_key").alias("root"))
+        found, of_graph, asked = nndescent.audit(nodes, links, roots, nndescent.count_links(nodes, roots, 0.93), 0.93)
+        assert found == least and of_graph <= 1 and asked > 200
+    assert nndescent.audit(nodes, full.limit(0), roots.limit(0), empty, 0.93)[:2] == (0.0, 0.0)
+
+
+def test_sparse_links_are_audited(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=24).tolist(), 0) for i in range(3000)]
+    rows.append((3001, rows[7][1][:-1] + [rows[7][1][-1] + 1e-3], 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes = nndescent.classes(common.ready(spark) and df)
+    none = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    assert nndescent.audit(nodes, none, roots, spark.createDataFrame([], "rid long, others long"), 0.93) == (0.0, 0.0, 2)
+
+
+def test_exact_search_takes_over_where_recall_stays_low(spark):
+    rows = clusters(11, 300, 40)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = nndescent.near_duplicates(df, orders=1, recall=1.1, most_orders=1).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == brute_near(rows) and {r.audited_recall for r in found} == {1.0}
+
+
+def test_rounds_find_links_that_the_first_graph_misses(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 48))
+    rows = [(20 * i + k, (base[i] + rng.normal(size=48) * 0.18).tolist(), 0) for i in range(60) for k in range(20)]
+    monkeypatch.setattr(nndescent, "AROUND", 3)
+    nodes = nndescent.classes(common.ready(spark) and spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    ids = {r.rid: r.first_id for r in nodes.collect()}
+    true = {(i, j) for i, own in brute_links(rows).items() for j in own if i < j}
+    number = {r[0]: i for i, r in enumerate(rows)}
+    count = lambda rounds: len(true & {tuple(sorted((number[ids[r.a]], number[ids[r.b]]))) for r in nndescent.descend(nodes, 2, 0.93, rounds).collect()}) / len(true)
+    assert count(0) < 0.6 and count(6) > 0.9
 
 
 def test_near_duplicates_query(spark, sf):
