@@ -1,12 +1,16 @@
-"""Class-conditional Kneser-Ney models over the characters of words, in numpy.
+"""Class-conditional Kneser-Ney models over the characters of running text, in numpy.
 
-A word is its characters between boundary marks. Two classes have models of their own from order
-``ORDER`` down to ``SHARED + 1``; below, both back off to one model of all words, so that what is
-rare in both weighs the same. ``ratios`` gives log P(word | first class) - log P(word | second class).
+A text is its words in lower case, each behind one boundary mark; the marks are symbols like the characters, so what a
+character is drawn after reaches over word boundaries. Two classes have models of their own from order
+``ORDER`` down to ``SHARED + 1``; below, both back off to one model of all texts, so that what is
+rare in both weighs the same. ``ratios`` gives log P(symbol | first class) - log P(symbol | second class) of each gram.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
 
 ORDER = 6
@@ -16,9 +20,87 @@ BITS = 10
 OTHER = 1
 #: Characters that have a number of their own; the others count as one.
 CHARACTERS = (1 << BITS) - 2
-#: Places, and words while fitting, that are handled at a time.
-CELLS = 1 << 20
-WORDS = 50_000
+#: Characters of text handled at a time; a longer text is read in stretches, cut behind a space where there is one.
+STRETCH = 1 << 20
+
+
+@cache
+def word_characters() -> np.ndarray:
+    """Whether each code point is a letter, a digit or an underscore."""
+    found = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+    found[ord("_")] = True
+    return found
+
+
+def stretches(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in lower case, ``STRETCH`` characters or so at a time, with the place of the text that each part is from."""
+    places: list[int] = []
+    parts: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        text, start = (text or "").lower(), 0
+        while start < len(text):
+            end = start + STRETCH
+            if end < len(text):
+                end = text.rfind(" ", start, end) + 1 or end
+            part, start = text[start:end], end
+            if size and size + len(part) > STRETCH:
+                yield places, parts
+                places, parts, size = [], [], 0
+            places.append(i)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield places, parts
+
+
+def codes(parts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+class Alphabet:
+    """Numbers of the characters, the most frequent ones of some texts first; 0 is whatever is no part of a word."""
+
+    def __init__(self, texts: list[str | None]):
+        seen = np.zeros(0x110000, np.int64)
+        for _, parts in stretches(texts):
+            seen += np.bincount(codes(parts), minlength=0x110000)
+        seen[~word_characters()] = 0
+        top = np.argsort(-seen, kind="stable")[: CHARACTERS - OTHER]
+        top = top[seen[top] > 0]
+        self.numbers = np.where(word_characters(), OTHER, 0).astype(np.int16)
+        self.numbers[top] = OTHER + 1 + np.arange(len(top))
+
+    def grams(self, parts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Packed grams of the full order, one for each character of a word and the mark behind it; whether it is that mark; its part.
+
+        Parts don't see one another: each stands behind ``order - 1`` marks.
+        """
+        sizes = np.array([len(p) for p in parts], np.int64)
+        own, part = self.numbers[codes(parts)], np.repeat(np.arange(len(parts)), sizes)
+        before = np.concatenate([own[:0], [0], own[:-1]])[: len(own)]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+        keep = (own != 0) | (before != 0)  # one mark for whatever is between two words
+        own, part = own[keep], part[keep]
+        n = np.bincount(part, minlength=len(parts))
+        row = n + order  # order - 1 marks before, one behind
+        starts = np.cumsum(row) - row
+        flat = np.zeros(int(row.sum()), np.int64)
+        flat[np.repeat(starts + order - 1 - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
+        packed = np.zeros(len(flat), np.int64)
+        for k in range(order):
+            packed[order - 1 :] |= flat[order - 1 - k : len(flat) - k] << BITS * k
+        ends = (flat == 0) & (np.concatenate([[0], flat[:-1]]) != 0)
+        use = ends | (flat != 0)
+        return packed[use], ends[use], np.repeat(np.arange(len(parts)), row)[use]
+
+    def counts(self, texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+        """The different grams of the texts, ascending, and how often each occurs."""
+        found = np.zeros(0, np.int64), np.zeros(0)
+        for _, parts in stretches(texts):
+            grams = self.grams(parts, order)[0]
+            found = _sums(np.concatenate([found[0], grams]), np.concatenate([found[1], np.ones(len(grams))]))
+        return found
 
 
 def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,21 +124,13 @@ class Level:
 
 
 class Model:
-    def __init__(self, words: list[str], first: np.ndarray, second: np.ndarray, order: int = ORDER, shared: int = SHARED):
-        """``first`` and ``second``: each word's count in the two classes."""
+    def __init__(self, first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], order: int = ORDER, shared: int = SHARED):
+        """``first`` and ``second``: the grams of the full order and their counts in the two classes."""
         self.order, self.shared = order, shared
-        seen: dict[str, float] = {}
-        for w, n in zip(words, first + second):
-            for c in w:
-                seen[c] = seen.get(c, 0) + n
-        top = sorted(seen, key=lambda c: (-seen[c], c))[: CHARACTERS - OTHER]
-        self.numbers = np.full(0x110000, OTHER, np.int16)
-        for i, c in enumerate(top):
-            self.numbers[ord(c)] = OTHER + 1 + i
         self.levels: dict[int, Level] = {}
         counts = []
-        for w in (first, second):
-            by = {order: self._counted(words, w)}
+        for own in (first, second):
+            by = {order: own}
             for n in range(order - 1, shared, -1):  # different symbols before a gram, in place of its count
                 above = by[n + 1][0]
                 by[n] = _sums(above & self._mask(n), np.ones(len(above)))
@@ -64,35 +138,9 @@ class Model:
         for n in range(shared + 1, order + 1):
             self._level(n, [c[n] for c in counts])
 
-    def _counted(self, words: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Grams of the full order with their weighted counts, a part of the words at a time."""
-        parts = []
-        for a in range(0, len(words), WORDS):
-            used = np.flatnonzero(weights[a : a + WORDS] > 0) + a
-            keys, word = self.grams([words[i] for i in used])
-            parts.append(_sums(keys, weights[used][word]))
-        return _sums(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0))
-
     def _mask(self, n: int) -> int:
         return (1 << BITS * n) - 1
 
-    def grams(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Packed grams of the full order, one for each character and the end mark, and the word that each is from."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        row = sizes + self.order  # order - 1 marks before, one behind
-        flat = np.zeros(int(row.sum()) if len(words) else 0, np.int64)
-        starts = np.cumsum(row) - row
-        inside = np.repeat(starts + self.order - 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(text))
-        flat[inside] = self.numbers[text]
-        packed = np.zeros(len(flat), np.int64)
-        for k in range(self.order):
-            packed[self.order - 1 :] |= flat[self.order - 1 - k : len(flat) - k] << BITS * k
-        word = np.repeat(np.arange(len(words)), row)
-        place = np.arange(len(flat)) - np.repeat(starts, row)
-        keep = place >= self.order - 1
-        return packed[keep], word[keep]
-
     def _level(self, n: int, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Interpolated probabilities of the seen grams in both classes, as ratios; ``self.levels`` has the orders below."""
         grams = np.union1d(counts[0][0], counts[1][0])
@@ -129,24 +177,21 @@ class Model:
         own, where, n = np.unique(grams, return_inverse=True, return_counts=True)
         return (n[where] + 1) / (total[at] + CHARACTERS)
 
-    def ratios(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words))
-        start = 0
-        while start < len(words):
-            end, cells = start, 0
-            while end < len(words) and (end == start or cells < CELLS):
-                cells += len(words[end]) + self.order
-                end += 1
-            keys, word = self.grams(words[start:end])
-            value, open_ = np.zeros(len(keys)), np.arange(len(keys))
-            for n in range(self.order, self.shared, -1):
-                level = self.levels[n]
-                own = keys[open_] & self._mask(n)
-                at, there = _find(level.grams, own)
-                value[open_[there]] += level.gram_ratio[at[there]]
-                open_, own = open_[~there], own[~there]
-                at, there = _find(level.contexts, own >> BITS)
-                value[open_[there]] += level.context_ratio[at[there]]
-            out[start:end] = np.bincount(word, value, end - start)
-            start = end
-        return out
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """Log ratios of packed grams of the full order; each different gram is looked up once."""
+        different, at = np.unique(keys, return_inverse=True)
+        value, open_ = np.zeros(len(different)), np.arange(len(different))
+        for n in range(self.order, self.shared, -1):
+            level = self.levels[n]
+            own = different[open_] & self._mask(n)
+            place, there = _find(level.grams, own)
+            value[open_[there]] += level.gram_ratio[place[there]]
+            open_, own = open_[~there], own[~there]
+            place, there = _find(level.contexts, own >> BITS)
+            value[open_[there]] += level.context_ratio[place[there]]
+        return value[at]
+
+
+def combined(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several groups of texts, added up."""
+    return _sums(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))

@@ -1,51 +1,52 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of the words of toxic and of ordinary documents, back off to shared counts (``kneser_ney``). A
-word's log-likelihood ratio is worked out once for each distinct word of a batch. A document is judged by its
-log-likelihoods normalised by length: over all of its tokens and over its three most toxic words, since a few words
-among hundreds decide. A logistic regression, fitted on ratios from models that haven't seen the document, turns
-these into a probability.
-
-Nulls: a null text is empty; empty texts get the score of no evidence. Labels: see ``labelled.sample``. Without labels of
-both classes every score is the share of label 1. Repeated rows get equal scores. Empty table: no rows.
+Two models, of the running text of toxic and of ordinary documents, give each character's probability after those
+before it, across word boundaries, and back off to shared counts (``kneser_ney``), so that what is rare in both
+weighs the same. The log-likelihoods of both are compared by passages of one to ``PASSAGE`` words, normalised by
+their length in characters (``LEAST`` at least, so that a word of a few letters isn't all). A document is as toxic as its
+most toxic passage, since one insult among thousands of words decides. A logistic curve over that one
+difference, fitted on differences by models that haven't seen the document, turns it into a probability.
+
+Nulls: a null text is empty; texts without words get the score of no difference. Labels: see ``labelled.sample``. Without labels
+of both classes every score is the share of label 1. Repeated rows get equal scores. Empty table: no rows.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from linkwright.llm import kneser_ney
 from linkwright.llm.common import chunks, ready, spread, table
-from linkwright.llm.kneser_ney import Model
 from linkwright.llm.labelled import PER_CLASS, Logistic, halves, held_out, sample, weights_for
 
 THRESHOLD = 0.5
-WORD = re.compile(r"[^\W\d_]+")
-#: Words of a worker whose ratios are remembered.
-REMEMBERED = 500_000
-TOP = 3
-#: Ratios beyond this say no more.
-MOST = 30.0
-
-
-def words(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
-
-
-def features(ratios: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of a document's distinct words: mean ratio over all tokens, the highest single ones, and their mean."""
-    out = np.zeros(TOP + 2)
-    if len(ratios):
-        out[0] = np.clip(ratios @ counts / counts.sum(), -3, 3)
-        top = np.minimum(np.sort(ratios)[::-1][:TOP], MOST)
-        out[1 : 1 + len(top)] = top
-        out[-1] = out[1:-1].mean()
-    return out
+PASSAGE, LEAST = 3, 8
+#: Log ratios are added as whole numbers of this part of one.
+UNIT = float(1 << 32)
+
+
+def passage_differences(model: kneser_ney.Model, alphabet: kneser_ney.Alphabet, texts: list[str | None]) -> np.ndarray:
+    """Of each text the highest difference of length-normalised log-likelihoods of a passage; 0 without words."""
+    out = np.full(len(texts), -np.inf)
+    for places, parts in kneser_ney.stretches(texts):
+        grams, ends, part = alphabet.grams(parts)
+        if not len(grams):
+            continue
+        last = np.flatnonzero(ends)
+        whole = np.round(model.ratios(grams) * UNIT).astype(np.int64)  # sums don't depend on what stands before
+        total = np.concatenate([[0], np.cumsum(whole)[last]])
+        size = np.concatenate([[0], last + 1])
+        text = np.array(places)[part[last]]
+        own = part[last]
+        for n in range(1, PASSAGE + 1):
+            same = own[n - 1 :] == own[: len(own) - n + 1]
+            value = (total[n:] - total[:-n]) / UNIT / np.maximum(size[n:] - size[:-n], LEAST)
+            np.maximum.at(out, text[n - 1 :][same], value[same])
+    return np.where(np.isfinite(out), out, 0.0)
 
 
 class Classifier:
@@ -55,40 +56,22 @@ class Classifier:
         self.prior, self.model, self.link = prior, None, None
         if len(set(y.tolist())) < 2:
             return
-        number: dict[str, int] = {}
-        docs = []
-        for t in texts:
-            own = words(t)
-            docs.append((np.array([number.setdefault(w, len(number)) for w in own], np.int32), np.array(list(own.values()), np.int32)))
-        known = list(number)
-        fold, x = halves(len(y)), np.zeros((len(y), TOP + 2))
+        self.alphabet = kneser_ney.Alphabet(texts)
+        fold, x = halves(len(y)), np.zeros((len(y), 1))
+        chosen = {(k, label): np.flatnonzero((fold == k) & (y == label)) for k in (0, 1) for label in (0, 1)}
+        counts = {cell: self.alphabet.counts([texts[i] for i in own]) for cell, own in chosen.items()}
         for k in (0, 1):
-            if len(set(y[fold != k].tolist())) == 2:
-                ratio = self._fit(known, docs, y, fold != k).ratios(known)
-                for i in np.flatnonzero(fold == k):
-                    x[i] = features(ratio[docs[i][0]], docs[i][1])
+            if len(chosen[1 - k, 0]) and len(chosen[1 - k, 1]):
+                other = kneser_ney.Model(counts[1 - k, 1], counts[1 - k, 0])
+                own = np.flatnonzero(fold == k)
+                x[own, 0] = passage_differences(other, self.alphabet, [texts[i] for i in own])
         self.link = Logistic(x, y, weights_for(y, prior))
-        self.model = self._fit(known, docs, y, np.ones(len(y), bool))
-
-    @staticmethod
-    def _fit(known: list[str], docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, chosen: np.ndarray) -> Model:
-        sums = np.zeros((2, len(known)))
-        for (at, n), label, use in zip(docs, y, chosen):
-            if use:
-                sums[label, at] += n
-        return Model(known, sums[1], sums[0])
+        self.model = kneser_ney.Model(*(kneser_ney.combined(counts[0, label], counts[1, label]) for label in (1, 0)))
 
-    def scores(self, texts: list[str | None], memory: dict[str, float]) -> np.ndarray:
+    def scores(self, texts: list[str | None], memory: dict | None = None) -> np.ndarray:
         if self.model is None:
             return np.full(len(texts), self.prior)
-        counts = [words(t) for t in texts]
-        new = list(set().union(*counts) - memory.keys())
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-            new = list(set().union(*counts))
-        memory.update(zip(new, self.model.ratios(new).tolist()))
-        rows = [features(np.array([memory[w] for w in c]), np.array(list(c.values()))) for c in counts]
-        return self.link(np.array(rows).reshape(len(counts), TOP + 2))
+        return self.link(passage_differences(self.model, self.alphabet, texts)[:, None])
 
 
 def score(docs: DataFrame, classifier, threshold: float) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -145,16 +146,99 @@ def test_near_duplicates_query(spark, sf):
     assert found == brute_near(rows)
 
 
-def test_kneser_ney_sums_to_one():
-    words = ["abc", "abd", "xyz", "xya", "bca"]
-    model = kneser_ney.Model(words, np.array([5.0, 1, 0, 0, 2]), np.array([0.0, 1, 4, 3, 2]), order=4, shared=1)
-    assert model.ratios(["abc"])[0] > 1 > -1 > model.ratios(["xyz"])[0]
-    assert np.isfinite(model.ratios(["", "q", "日本", "abcabcabc"])).all()
-    n, grams, logs, contexts, rests = model._last
-    held = np.searchsorted(contexts, grams >> kneser_ney.BITS)
-    for k in (0, 1):  # what the seen grams of a context hold is at most one, and all but what is left for the unseen
-        total = np.bincount(held, np.exp(logs[k]))
-        assert (total <= 1 + 1e-9).all()
+def plain_symbols(text, numbers):
+    """Marks and characters' numbers of one text, by a loop."""
+    out = []
+    for c in text.lower():
+        n = int(numbers[ord(c)])
+        if n or (out and out[-1]):
+            out.append(n)
+    return out if not out or out[-1] == 0 else [*out, 0]
+
+
+def plain_grams(text, numbers, order):
+    own = [0] * (order - 1) + plain_symbols(text, numbers)
+    return [tuple(own[i - order + 1 : i + 1]) for i in range(order - 1, len(own))]
+
+
+class PlainKneserNey:
+    """Probabilities by the definition, one symbol at a time."""
+
+    def __init__(self, grams_by_class, order, shared):
+        self.order, self.shared = order, shared
+        self.counts = []
+        for grams in grams_by_class:
+            by = {order: Counter(grams)}
+            for n in range(order - 1, shared, -1):
+                by[n] = Counter(g[1:] for g in by[n + 1])
+            self.counts.append(by)
+        longer = set(self.counts[0][shared + 1]) | set(self.counts[1][shared + 1])
+        self.low = Counter(g[1:] for g in longer)
+
+    def p(self, k, gram):
+        n = len(gram)
+        if n == self.shared:
+            return (self.low[gram] + 1) / (sum(c for g, c in self.low.items() if g[:-1] == gram[:-1]) + kneser_ney.CHARACTERS)
+        mine = {g: c for g, c in self.counts[k][n].items() if g[:-1] == gram[:-1]}
+        total = sum(mine.values())
+        if not total:
+            return self.p(k, gram[1:])
+        left = kneser_ney.DISCOUNT * len(mine) / total
+        return max(mine.get(gram, 0) - kneser_ney.DISCOUNT, 0) / total + left * self.p(k, gram[1:])
+
+
+def test_kneser_ney_equals_its_definition():
+    texts = [["abc abd, abc", "bca  a_1 abca"], ["xyz! xya abd", "", "zab abd abc zz"]]
+    order, shared = 4, 1
+    alphabet = kneser_ney.Alphabet(sum(texts, []))
+    pack = lambda g: sum(s << kneser_ney.BITS * (len(g) - 1 - i) for i, s in enumerate(g))
+    for own in texts:
+        found, counts = alphabet.counts(own, order)
+        expected = Counter(pack(g) for t in own for g in plain_grams(t, alphabet.numbers, order))
+        assert dict(zip(found.tolist(), counts.tolist())) == expected
+    model = kneser_ney.Model(*(alphabet.counts(own, order) for own in texts), order, shared)
+    plain = PlainKneserNey([[g for t in own for g in plain_grams(t, alphabet.numbers, order)] for own in texts], order, shared)
+    asked = [g for t in [*sum(texts, []), "abz q cab ABC", "_1 xx yy\n\tzz"] for g in plain_grams(t, alphabet.numbers, order)]
+    expected = [np.log(plain.p(0, g) / plain.p(1, g)) for g in asked]
+    assert np.allclose(model.ratios(np.array([pack(g) for g in asked])), expected)
+    for k in (0, 1):  # seen, half-seen and unseen contexts
+        for context in ((0, 0, 0), asked[3][1:], asked[-1][1:], (9, 9, 9)):
+            assert abs(sum(plain.p(k, (*context, s)) for s in range(kneser_ney.CHARACTERS)) - 1) < 1e-6
+
+
+def test_passages_are_compared_by_length():
+    texts = ["you are a worthless clown", "the river runs under the stone", "", None, " .. ", "one river " * 50 + "worthless", "you are", "x" * 50]
+    alphabet = kneser_ney.Alphabet(texts)
+    toxic, ordinary = ["worthless clown you are a clown"] * 3, ["the river runs under one stone you are here"] * 3
+    model = kneser_ney.Model(alphabet.counts(toxic), alphabet.counts(ordinary))
+    found = toxicity.passage_differences(model, alphabet, texts)
+    assert found[0] > 0.5 and found[5] > 0.5 and found[1] < 0.2 and (found[2:5] == 0).all()
+    for text, value in zip(texts, found):
+        words, best = [], []
+        for word in re.findall(r"\w+", (text or "").lower()):
+            words.append(word)
+        joined = " ".join(words)
+        grams = np.array([sum(s << kneser_ney.BITS * (kneser_ney.ORDER - 1 - i) for i, s in enumerate(g)) for g in plain_grams(joined, alphabet.numbers, kneser_ney.ORDER)], np.int64)
+        ratios, at = model.ratios(grams), 0
+        own = []
+        for w in words:
+            own.append((ratios[at : at + len(w) + 1].sum(), len(w) + 1))
+            at += len(w) + 1
+        for n in range(1, toxicity.PASSAGE + 1):
+            best += [sum(r for r, _ in own[i : i + n]) / max(toxicity.LEAST, sum(k for _, k in own[i : i + n])) for i in range(len(own) - n + 1)]
+        assert abs(value - max(best, default=0.0)) < 1e-6
+
+
+def test_long_texts_are_read_whole(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "STRETCH", 100)
+    text = "plain words and more of them " * 40
+    parts = [p for _, own in kneser_ney.stretches([text, None, "short", text + "x" * 250]) for p in own]
+    assert "".join(parts) == text + "short" + text + "x" * 250 and max(map(len, parts)) <= 100
+    texts = [text + "worthless clown " + text, text]
+    alphabet = kneser_ney.Alphabet(texts)
+    model = kneser_ney.Model(alphabet.counts(["worthless clown"]), alphabet.counts([text]))
+    found = toxicity.passage_differences(model, alphabet, texts)
+    assert found[0] > 1 > found[1]
 
 
 def test_random_indexing_is_deterministic():
