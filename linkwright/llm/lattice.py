@@ -7,6 +7,7 @@ from all places of all words in step and drops places whose prefix leads nowhere
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ MARK = "▁"
 NONE = -1
 #: Cells (words x places) of one array pass.
 CELLS = 1 << 17
+#: Places beyond which a word goes by itself.
+LONG = 2_000
 _LOADED: dict = {}
 
 
@@ -30,7 +33,7 @@ class Vocabulary:
         for i, (piece, kind) in enumerate(zip(pieces, kinds)):
             if kind == "byte":
                 self.bytes[int(piece[3:5], 16)] = i
-            if kind != "normal" or MARK in piece[1:]:
+            if kind != "normal":
                 continue
             for n in range(1, len(piece) + 1):
                 if piece[:n] not in nodes:
@@ -95,7 +98,7 @@ def batches(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     start = 0
     while start < len(order):
         end = start + 1
-        while end < len(order) and sizes[order[min(end + 63, len(order) - 1)]] * (end + 64 - start) <= CELLS and end < len(order):
+        while end < len(order) and sizes[order[start]] <= LONG and sizes[order[min(end + 63, len(order) - 1)]] * (end + 64 - start) <= CELLS and end < len(order):
             end = min(end + 64, len(order))
         own = order[start:end]
         lengths = sizes[own]
@@ -169,17 +172,66 @@ def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
         return np.log(np.exp(stacked - safe).sum(0)) + safe
 
 
+class LongWord:
+    """One word of many places: its arcs are listed once, and places are walked one by one, each by its own few arcs."""
+
+    def __init__(self, vocabulary: Vocabulary, codes: np.ndarray, lengths: np.ndarray, logp: np.ndarray):
+        whole = Lattice(vocabulary, codes, lengths, logp)
+        self.n, self.spelled, self.codes, self.fallback = int(lengths[0]), whole.spelled, codes[0], whole.fallback[0]
+        starts, ends, weights, ids = [], [], [], []
+        for k, (own, w) in enumerate(zip(whole.ids, whole.weights), 1):
+            at = np.flatnonzero(np.isfinite(w[0]))
+            starts.append(at)
+            ends.append(at + k)
+            weights.append(w[0][at])
+            ids.append(own[0][at])
+        self.starts, self.ends, self.weights, self.ids = (np.concatenate(x) for x in (starts, ends, weights, ids))
+
+    def _walk(self, at: np.ndarray, other: np.ndarray, places: range, first: int) -> list[float]:
+        """Log sums over the arcs that reach each place (``at``) from ``other``."""
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], np.arange(self.n + 2)).tolist()
+        source, weight = other[order].tolist(), self.weights[order].tolist()
+        out = [-math.inf] * (self.n + 1)
+        out[first] = 0.0
+        for j in places:
+            terms = [out[source[i]] + weight[i] for i in range(bounds[j], bounds[j + 1])]
+            most = max(terms, default=-math.inf)
+            if most > -math.inf:
+                out[j] = most + math.log(sum(math.exp(t - most) for t in terms))
+        return out
+
+    def total(self) -> float:
+        return self._walk(self.ends, self.starts, range(1, self.n + 1), 0)[-1]
+
+    def expected(self, count: float, size: int) -> np.ndarray:
+        alpha = np.array(self._walk(self.ends, self.starts, range(1, self.n + 1), 0))
+        beta = np.array(self._walk(self.starts, self.ends, range(self.n - 1, -1, -1), self.n))
+        share = count * np.exp(alpha[self.starts] + self.weights + beta[self.ends] - alpha[-1])
+        used = self.ids >= 0
+        found = np.bincount(self.ids[used], share[used], size)
+        for c, s in zip(self.codes[self.starts[~used]].tolist(), share[~used].tolist()):
+            np.add.at(found, self.spelled[c], s)
+        return found
+
+
 def log_probabilities(words: list[str], vocabulary: Vocabulary, logp: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability over all its segmentations."""
     out = np.zeros(len(words))
     for own, codes, lengths in batches(words):
-        lattice = Lattice(vocabulary, codes, lengths, logp)
-        out[own] = lattice.total(lattice.forward())
+        if len(own) == 1 and lengths[0] > LONG:
+            out[own] = LongWord(vocabulary, codes, lengths, logp).total()
+        else:
+            lattice = Lattice(vocabulary, codes, lengths, logp)
+            out[own] = lattice.total(lattice.forward())
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, vocabulary: Vocabulary, logp: np.ndarray) -> np.ndarray:
     found = np.zeros(len(vocabulary.pieces))
     for own, codes, lengths in batches(words):
-        found += Lattice(vocabulary, codes, lengths, logp).expected(counts[own], len(found))
+        if len(own) == 1 and lengths[0] > LONG:
+            found += LongWord(vocabulary, codes, lengths, logp).expected(float(counts[own[0]]), len(found))
+        else:
+            found += Lattice(vocabulary, codes, lengths, logp).expected(counts[own], len(found))
     return found

@@ -5,15 +5,20 @@ each relaxes the best score of the place by its own score and the best score of
 character that is no piece costs ``UNKNOWN`` less than the worst piece and is spelled with byte pieces. Scores
 are those of the model file, taken as a unigram model's: the segmentation has the highest sum of scores.
 
-Spaces become marks and one mark is put in front; decoding undoes both, so a text comes back as it was, but for
-literal marks (U+2581), which come back as spaces. Pieces of several marks are not used, so no piece
-crosses a mark or a line break, and each distinct stretch between them is encoded once per worker.
+Spaces become marks and one mark is put in front; decoding undoes both. Literal marks (U+2581) of a text are spelled with
+byte pieces, so every text comes back as it was. A piece of several marks is left out only where single marks always score
+better, which changes no result; with a vocabulary where they don't, runs of marks stay together. No other piece
+crosses a mark or a line break, and each distinct short stretch between them is encoded once per worker.
+
+The model file at hand holds merge ranks as scores (minus the rank), not log-probabilities of a trained unigram model: the
+segmentation is the best one under those scores.
 
 Nulls: a null text is empty and has no ids; null ids decode to null. Repeated rows are encoded alike. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,8 +31,10 @@ from linkwright.llm.common import ready, spread, table
 from linkwright.llm.lattice import MARK, load
 
 UNKNOWN = 10.0
-REMEMBERED = 800_000
+#: Stretches of a worker that are remembered, and the longest of them.
+REMEMBERED, SHORT = 800_000, 64
 STRETCH = re.compile(f"{MARK}?[^{MARK}\n]+|{MARK}|\n")
+WITH_MARKS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _CODECS: dict = {}
 
 
@@ -37,14 +44,23 @@ class Codec:
 
         self.vocabulary = load(path)
         self.automaton, scores = ahocorasick.Automaton(), []
+        normal = {p: float(s) for p, k, s in zip(self.vocabulary.pieces, self.vocabulary.kinds, self.vocabulary.scores) if k == "normal"}
+        single = normal.get(MARK, -math.inf)
+        self.stretch = STRETCH
         for i, (piece, kind) in enumerate(zip(self.vocabulary.pieces, self.vocabulary.kinds)):
-            if kind == "normal" and MARK not in piece[1:]:
-                self.automaton.add_word(piece, (i, len(piece), float(self.vocabulary.scores[i])))
-                scores.append(float(self.vocabulary.scores[i]))
+            if kind != "normal":
+                continue
+            if MARK in piece[1:]:
+                if piece.strip(MARK) == "" and normal[piece] < single * len(piece):
+                    continue  # as many single marks are always better
+                self.stretch = WITH_MARKS if piece.lstrip(MARK).count(MARK) == 0 else re.compile(r"[^\n]+|\n")
+            self.automaton.add_word(piece, (i, len(piece), normal[piece]))
+            scores.append(normal[piece])
         self.automaton.make_automaton()
         self.unknown = min(scores) - UNKNOWN
         self.memory: dict[str, tuple[int, ...]] = {}
         self.byte_of = {int(i): b for b, i in enumerate(self.vocabulary.bytes) if i >= 0}
+        self.literal_mark = self.vocabulary.bytes[list(MARK.encode())].tolist()
 
     def segment(self, text: str) -> tuple[float, list[tuple[int, int, int | None]]]:
         """The best score and (start, end, piece or None) of each part."""
@@ -84,15 +100,20 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
         out: list[int] = []
         known = self.memory
-        for stretch in STRETCH.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(stretch)
-            if ids is None:
-                ids = known[stretch] = self._ids(stretch)
-            out.extend(ids)
+        for k, part in enumerate(text.split(MARK)):
+            if k:
+                out += self.literal_mark
+            for stretch in self.stretch.findall(MARK * (k == 0) + part.replace(" ", MARK)):
+                ids = known.get(stretch)
+                if ids is None:
+                    ids = self._ids(stretch)
+                    if len(stretch) <= SHORT:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[stretch] = ids
+                out.extend(ids)
         return out
 
     def decode(self, ids: list[int] | None) -> str | None:
@@ -103,8 +124,8 @@ class Codec:
             if i in byte_of:
                 out.append(byte_of[i])
             else:
-                out += pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+                out += pieces[i].replace(MARK, " ").encode()
+        text = out.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -150,7 +171,7 @@ def op4_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
                 text = t.as_py() or ""
                 ids = own.encode(text)
                 packed = np.array(ids, "<u4")
-                rows.append((len(ids), int(is_byte[packed].sum()), zlib.crc32(packed.tobytes()), own.decode(ids) == text.replace(MARK, " ")))
+                rows.append((len(ids), int(is_byte[packed].sum()), zlib.crc32(packed.tobytes()), own.decode(ids) == text))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "round_trip"])
 

@@ -535,7 +535,7 @@ def test_warc_query(spark, sf):
 def brute_log10(word, vocabulary, logp):
     """Sum over all segmentations by recursion."""
     text = lattice.MARK + word
-    ids = {p: i for i, p in enumerate(vocabulary.pieces) if vocabulary.kinds[i] == "normal" and lattice.MARK not in p[1:]}
+    ids = {p: i for i, p in enumerate(vocabulary.pieces) if vocabulary.kinds[i] == "normal"}
 
     def ways(at):
         if at == len(text):
@@ -573,6 +573,17 @@ def test_expected_counts_are_the_gradient():
         assert abs(slope - e[piece]) < 1e-4
 
 
+def test_long_words_equal_short_ones(monkeypatch):
+    own = lattice.load()
+    logp = lm.first_weights(own)[:-1]
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh龘é▁"), n)) for n in (5, 40, 90, 300)]
+    whole = lattice.log_probabilities(words, own, logp), lattice.expected_counts(words, np.arange(4) + 1.0, own, logp)
+    monkeypatch.setattr(lattice, "LONG", 30)
+    assert np.allclose(lattice.log_probabilities(words, own, logp), whole[0])
+    assert np.allclose(lattice.expected_counts(words, np.arange(4) + 1.0, own, logp), whole[1])
+
+
 def check_scores(found, texts):
     held = {i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1 for i, _ in texts}
     tokens = [(i, [*(t or "").encode().lower().split(), None]) for i, t in texts]
@@ -612,7 +623,7 @@ def test_lm_query(spark, sf):
 
 def test_viterbi_is_the_best_segmentation():
     own = pieces.codec()
-    ids = {p: i for i, p in enumerate(own.vocabulary.pieces) if own.vocabulary.kinds[i] == "normal" and lattice.MARK not in p[1:]}
+    ids = {p: i for i, p in enumerate(own.vocabulary.pieces) if own.vocabulary.kinds[i] == "normal"}
 
     def best(text):
         top = [0.0] + [-math.inf] * len(text)
@@ -623,7 +634,7 @@ def test_viterbi_is_the_best_segmentation():
                 top[end] = max(top[end], top[at] + score)
         return top[-1]
 
-    for text in ("▁the", "▁thonretiin", "▁Grüße", "日本龘x龘", "▁1234abc", "龘"):
+    for text in ("▁the", "▁thonretiin", "▁Grüße", "日本龘x龘", "▁1234abc", "龘", "▁▁▁", "▁▁▁▁the▁▁x"):
         score, parts = own.segment(text)
         assert abs(score - best(text)) < 1e-6
         assert "".join(text[a:b] for a, b, _ in parts) == text
@@ -632,15 +643,36 @@ def test_viterbi_is_the_best_segmentation():
 
 def test_stretches_don_t_change_the_result():
     own = pieces.codec()
-    for text in ("two  spaces", " lead", "trail ", "line\nbreak\n\nend", "a b"):
+    for text in ("two  spaces", " lead", "trail ", "line\nbreak\n\nend", "a b", "a" + " " * 40 + "b", " " * 20):
         whole = own._ids("▁" + text.replace(" ", "▁"))
         assert tuple(own.encode(text)) == whole
 
 
+def test_every_text_comes_back():
+    own = pieces.codec()
+    for text in ("▁", " ▁ ", "▁▁a ▁b▁", "a▁b", "\n▁\n", " ", "  ", "𝄞 \u0000 é", "x" * 20_000 + "▁" + " " * 5_000):
+        ids = own.encode(text)
+        assert own.decode(ids) == text
+    assert own.literal_mark == own.vocabulary.bytes[list("▁".encode())].tolist() and len(own.memory) <= pieces.REMEMBERED
+    assert all(len(k) <= pieces.SHORT for k in own.memory)
+
+
+def test_pieces_of_marks_that_score_well_are_used(monkeypatch):
+    """With a vocabulary in which a run of marks is worth it, runs stay together."""
+    base = lattice.load()
+    scores = base.scores.copy()
+    scores[base.pieces.index("▁▁▁▁")] = 0.0
+    monkeypatch.setitem(lattice._LOADED, "other", lattice.Vocabulary(base.pieces, scores.tolist(), base.kinds))
+    own = pieces.Codec("other")
+    ids = own.encode("a" + " " * 9 + "b")
+    assert [base.pieces[i] for i in ids].count("▁▁▁▁") == 2 and own.decode(ids) == "a" + " " * 9 + "b"
+    assert tuple(ids) == own._ids("▁a" + "▁" * 9 + "b")
+
+
 def test_pieces_on_odd_rows(docs, no_docs):
     encoded = pieces.encode(docs)
     back = Counter((r.doc_id, r.text) for r in pieces.decode(encoded).collect())
-    assert back == Counter((r.doc_id, (r.text or "").replace("▁", " ")) for r in docs.collect())
+    assert back == Counter((r.doc_id, r.text or "") for r in docs.collect())
     assert pieces.decode(pieces.encode(no_docs)).count() == 0
     assert pieces.codec().decode(None) is None
 
