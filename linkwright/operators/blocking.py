@@ -133,12 +133,15 @@ def top_k(pairs: DataFrame, score: str, k: int, least: float = 1e-6) -> DataFram
 
 
 def candidates(records: DataFrame, channels: Mapping[str, Channel] | None = None, max_df: int = 10_000, least: float = 1e-6) -> DataFrame:
-    """(q, p, s_<channel> ...): union of all channels' best, each pair scored on every channel."""
+    """(q, p, s_<channel> ...): union of all channels' best, each pair scored on every channel.
+
+    Scores are rounded to nine places before they are ranked: sums come in any order, and equal scores must go by key.
+    """
     channels = dict(channels or default_channels())
     bases = sorted({b for c in channels.values() for b in c.weights})
     weights = tfidf(long_features(records, bases), records, max_df).persist()  # both sides of the join read it
     dots = dot_products(weights, bases)
-    scored = dots.select("q", "p", *[channel_score(c).alias(f"s_{n}") for n, c in channels.items()])
+    scored = dots.select("q", "p", *[F.round(channel_score(c), 9).alias(f"s_{n}") for n, c in channels.items()])
     ranked = scored.withColumns({f"_r_{n}": within_query(F.col(f"s_{n}")) for n in channels})
     chosen = reduce(lambda a, b: a | b, [(F.col(f"_r_{n}") <= c.k) & (F.col(f"s_{n}") > least) for n, c in channels.items()])
     return ranked.where(chosen).select("q", "p", *[f"s_{n}" for n in channels])

@@ -8,6 +8,7 @@ from linkwright.config import Channel
 from linkwright.functions import addresses, hashing, kernels, names
 from linkwright.functions import arrays as A
 from linkwright.operators import blocking, pair_features
+from linkwright.queries import raw
 from linkwright.queries.decisions import md5_mod_sql
 from linkwright.queries.tables import CHANNELS_SQL, channels, read, rounded
 
@@ -38,20 +39,7 @@ def _words(text: str) -> str:
     return f"list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
-# The consonant skeleton in SQL: substitutions one after the other; repeats collapse by comparing neighbours.
-def _skeleton_sql(t: str) -> str:
-    from linkwright.functions import vocabulary as V
-
-    for a, b in V.SKELETON:
-        t = f"replace({t}, '{a}', '{b}')"
-    for a, b in zip(V.SOUND_FROM, V.SOUND_TO):
-        t = f"replace({t}, '{a}', '{b}')"
-    return t
-
-
-@query(f"""WITH d AS (SELECT DISTINCT unnest({_words('text')}) AS token FROM documents), s AS (SELECT token, {_skeleton_sql('token')} AS t FROM d),
-  r AS (SELECT token, substr(t, 1, 1) || regexp_replace(substr(t, 2), '[aeiou]+', '', 'g') AS t FROM s)
-  SELECT token, array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN i > 1 AND substr(t, i::BIGINT, 1) = substr(t, i::BIGINT - 1, 1) THEN '' ELSE substr(t, i::BIGINT, 1) END), '') AS skeleton FROM r""")
+@query(f"""WITH d AS (SELECT DISTINCT unnest({_words('text')}) AS token FROM documents) SELECT token, {raw.skeleton_sql('token')} AS skeleton FROM d""")
 def skeleton_tokens(spark, sf_dir):
     tokens = read(spark, sf_dir, "documents").select(F.explode(A.words(F.lower("text"))).alias("token")).distinct()
     return tokens.select("token", names.skeleton(F.col("token")).alias("skeleton"))
@@ -64,19 +52,17 @@ def deleet_tokens(spark, sf_dir):
     return tokens.select("token", names.deleet(F.col("token")).alias("plain"))
 
 
-# c_name is Customer#<digits>: the number after # is removed as a hash number, in addresses it is a token of its own.
-@query("""SELECT c_custkey, 'customer ' || CASE WHEN ltrim(substr(c_name, 10), '0') = '' THEN '0' ELSE ltrim(substr(c_name, 10), '0') END AS a_norm, 'customer' AS a_words,
-  CASE WHEN ltrim(substr(c_name, 10), '0') = '' THEN '0' ELSE ltrim(substr(c_name, 10), '0') END AS a_first_num, CASE WHEN length(ltrim(substr(c_name, 10), '0')) IN (5, 6) THEN ltrim(substr(c_name, 10), '0') ELSE '' END AS a_pin,
-  1 AS a_ncomp, 0 AS a_empty FROM customer""")
+@query(f"WITH {raw.ADDRESSES_SQL} SELECT c_custkey, a_norm, a_words, a_sorted, a_nums, a_first_num, a_pin, a_ncomp, a_empty FROM ad")
 def address_tokens(spark, sf_dir):
-    return addresses.address_columns(read(spark, sf_dir, "customer"), "c_name").select("c_custkey", "a_norm", "a_words", "a_first_num", "a_pin", "a_ncomp", "a_empty")
+    return addresses.address_columns(raw.raw_addresses(spark, sf_dir), "raw").select("c_custkey", "a_norm", "a_words", "a_sorted", "a_nums", "a_first_num", "a_pin", "a_ncomp", "a_empty")
+
+
+NAME_COLUMNS = ("n_cons", "n_core", "n_sorted", "n_compact", "n_skel", "n_legal", "n_digits", "n_is_domain", "n_has_dba", "n_has_phone", "n_indic")
 
 
-@query("""SELECT p_partkey, p_name || ' ' || lower(p_type) || ' company' AS n_cons, p_name || ' ' || lower(p_type) AS n_core, array_to_string(list_sort(string_split(p_name || ' ' || lower(p_type), ' ')), ' ') AS n_sorted,
-  replace(p_name, ' ', '') || lower(p_type) AS n_compact, 'co' AS n_legal, '' AS n_digits, 0 AS n_is_domain, 0 AS n_has_dba, 0 AS n_has_phone, 0 AS n_indic FROM part""")
+@query(f"WITH {raw.NAMES_SQL} SELECT p_partkey, {', '.join(NAME_COLUMNS)} FROM nm")
 def name_tokens(spark, sf_dir):
-    raw = read(spark, sf_dir, "part").withColumn("raw", F.concat(F.initcap("p_name"), F.lit(" "), F.col("p_type"), F.lit(" Company.")))
-    return names.name_columns(raw, "raw").select("p_partkey", "n_cons", "n_core", "n_sorted", "n_compact", "n_legal", "n_digits", "n_is_domain", "n_has_dba", "n_has_phone", "n_indic")
+    return names.name_columns(raw.raw_names(spark, sf_dir), "raw").select("p_partkey", *NAME_COLUMNS)
 
 
 def _name_pairs(spark, sf_dir):
@@ -258,7 +244,48 @@ def balanced_weights(spark, sf_dir):
     return rounded(pair_features.balanced_weights(read(spark, sf_dir, "lineitem").select("l_returnflag"), "l_returnflag").distinct())
 
 
-@query(None)
+@query(f"""WITH {FEATURES}, s AS (SELECT q, p, round(d_name, 9) AS s_name, round(d_gram, 9) AS s_gram, round(d_name * 0.5 + d_gram * 0.5, 9) AS s_combo FROM dot),
+  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s_name DESC, p) AS r1, row_number() OVER (PARTITION BY q ORDER BY s_gram DESC, p) AS r2, row_number() OVER (PARTITION BY q ORDER BY s_combo DESC, p) AS r3 FROM s)
+  SELECT q, p, round(s_name, 6) AS s_name, round(s_gram, 6) AS s_gram, round(s_combo, 6) AS s_combo FROM r WHERE (r1 <= 10 AND s_name > 1e-6) OR (r2 <= 5 AND s_gram > 1e-6) OR (r3 <= 10 AND s_combo > 1e-6)""")
 def multi_channel_candidates(spark, sf_dir):
     own = {"name": Channel({"name": 1.0}, 10), "gram": Channel({"gram": 1.0}, 5), "combo": Channel({"name": 0.5, "gram": 0.5}, 10)}
     return rounded(blocking.candidates(_records(spark, sf_dir), own))
+
+
+# All five channels over raw names and addresses: features of every base, weights and ranks once more in SQL.
+def _adjacent(items: str, tag: str) -> str:
+    return f"list_transform(range(1, len({items})), lambda i: '{tag}:' || {items}[i] || '_' || {items}[i + 1])"
+
+
+BASE_ROWS = f"""SELECT rid, country, is_query, 'name' AS base, unnest(list_transform(core, lambda t: 'w:' || t)) AS feature FROM rec
+    UNION ALL SELECT rid, country, is_query, 'name', unnest(list_transform(list_filter(string_split(n_skel, ' '), lambda t: length(t) >= 2), lambda t: 'k:' || t)) FROM rec
+    UNION ALL SELECT rid, country, is_query, 'name', unnest({_adjacent('core', 'b')}) FROM rec
+    UNION ALL SELECT rid, country, is_query, 'name', unnest(['p:' || substr(n_compact, 1, 5), 's:' || right(n_compact, 5), 'c:' || n_compact]) FROM rec WHERE length(n_compact) >= 4
+    UNION ALL SELECT rid, country, is_query, 'name', unnest(list_transform(list_filter(string_split(n_cons, ' '), lambda t: t <> ''), lambda t: 'w:' || t)) FROM rec WHERE len(core) = 0
+    UNION ALL SELECT rid, country, is_query, 'addr', unnest(list_transform(a_wlist, lambda t: 'a:' || t)) FROM rec
+    UNION ALL SELECT rid, country, is_query, 'addr', unnest(list_transform(list_filter(a_nlist, lambda t: length(t) >= 2), lambda t: 'n:' || t)) FROM rec
+    UNION ALL SELECT rid, country, is_query, 'addr', unnest({_adjacent('a_wlist', 'ab')}) FROM rec
+    UNION ALL SELECT rid, country, is_query, 'addr', unnest(list_filter(list_transform(range(1, len(a_list)), lambda i: CASE WHEN regexp_matches(a_list[i], '^[0-9]+$') AND NOT regexp_matches(a_list[i + 1], '^[0-9]+$') THEN 'nw:' || a_list[i] || '_' || a_list[i + 1] END), lambda t: t IS NOT NULL)) FROM rec
+    UNION ALL SELECT rid, country, is_query, 'conj', 'x:' || a || '|' || b FROM (SELECT *, unnest(list_filter(core, lambda t: length(t) >= 2)[1:4]) AS a FROM rec) x, unnest(list_filter(a_wlist, lambda t: length(t) >= 3)[1:12]) AS u(b)
+    UNION ALL SELECT rid, country, is_query, 'conj', 'y:' || a || '|' || b FROM (SELECT *, unnest(list_filter(core, lambda t: length(t) >= 2)[1:4]) AS a FROM rec) x, unnest(a_nlist[1:4]) AS u(b)
+    UNION ALL SELECT rid, country, is_query, 'gram', unnest(list_transform(range(1, greatest(length(n_compact) - 1, 1) + 1), lambda i: 'g:' || substr('^' || n_compact || '$', i::BIGINT, 4))) FROM rec"""
+
+
+@query(f"WITH {raw.RECORDS_SQL} SELECT DISTINCT rid, base, feature FROM ({BASE_ROWS})")
+def channel_features(spark, sf_dir):
+    return blocking.long_features(raw.normal_records(spark, sf_dir), ["addr", "conj", "gram", "name"]).select("rid", "base", "feature")
+
+
+FIVE = {"name": "d_name", "addr": "d_addr", "combo": "d_name * 0.5 + d_addr * 0.5", "conj": "d_conj * 0.6 + d_name * 0.2 + d_addr * 0.2", "gram": "d_gram"}
+KEPT = {"name": 30, "addr": 30, "combo": 30, "conj": 30, "gram": 20}
+
+
+@query(f"""WITH {raw.RECORDS_SQL}, long AS (SELECT DISTINCT * FROM ({BASE_ROWS})), sz AS (SELECT country, count(*) AS n FROM rec GROUP BY 1),
+  df AS (SELECT country, base, feature, count(*) AS df FROM long GROUP BY ALL HAVING count(*) BETWEEN 2 AND 10000), idf AS (SELECT long.*, ln(n / df) AS idf FROM long JOIN df USING (country, base, feature) JOIN sz USING (country)),
+  wt AS (SELECT *, idf / norm AS w FROM (SELECT *, sqrt(sum(idf * idf) OVER (PARTITION BY rid, base)) AS norm FROM idf) WHERE norm > 0),
+  dot AS (SELECT x.rid AS q, z.rid AS p, {', '.join(f"sum(CASE WHEN base = '{b}' THEN x.w * z.w ELSE 0 END) AS d_{b}" for b in ('name', 'addr', 'conj', 'gram'))} FROM wt x JOIN wt z USING (country, base, feature) WHERE x.is_query AND NOT z.is_query GROUP BY 1, 2),
+  s AS (SELECT q, p, {', '.join(f'round({e}, 9) AS s_{n}' for n, e in FIVE.items())} FROM dot), r AS (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY q ORDER BY s_{n} DESC, p) AS r_{n}' for n in FIVE)} FROM s)
+  SELECT q, p, {', '.join(f'round(s_{n}, 6) AS s_{n}' for n in FIVE)} FROM r WHERE {' OR '.join(f'(r_{n} <= {k} AND s_{n} > 1e-6)' for n, k in KEPT.items())}""")
+def five_channel_candidates(spark, sf_dir):
+    """Retrieval as a whole with its default channels, from raw text on."""
+    return rounded(blocking.candidates(raw.normal_records(spark, sf_dir)))
