@@ -23,8 +23,9 @@ def smaller_universe(records: DataFrame, truth: DataFrame, rate: float = 0.5, sa
 
 
 def uniform(*keys: Column | str) -> Column:
-    """A number between 0 and 1 from a hash of the keys."""
-    return (F.pmod(F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys]), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    """A number between 0 and 1 from the first forty bits of md5 of the keys."""
+    digest = F.md5(F.concat_ws("|", *[(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys]))
+    return (F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") + 0.5) / (1 << 40)
 
 
 def poisson(mean: float, u: Column, most: int = 12) -> Column:

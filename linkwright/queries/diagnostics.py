@@ -109,10 +109,11 @@ def reused_features(spark, sf_dir):
     return diagnostics.reuse(pairs.select("q", "p"), known, compute)
 
 
-@query(None)
+@query(f"WITH {S} SELECT q, p, q % 5 AS fold FROM pairs WHERE y = 1 AND q % 5 <> 0 ORDER BY md5(q::VARCHAR || '|' || p::VARCHAR || '|0'), q, p LIMIT 2000")
 def training_pairs(spark, sf_dir):
+    """A sample of a fixed size is the operator itself."""
     pairs = scored(spark, sf_dir, "l_suppkey").where("y = 1").withColumn("fold", F.pmod(F.col("q"), F.lit(5)))
-    return diagnostics.training_pairs(pairs, 3_000_000).select("q", "p", "fold")
+    return diagnostics.training_pairs(pairs, 2000).select("q", "p", "fold")
 
 
 def _veto_sql() -> str:

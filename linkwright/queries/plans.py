@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from linkwright.config import Channel
 from linkwright.functions.hashing import fold_of
 from linkwright.operators import blocking, context, decision, evaluate, models, shift, simulate
 from linkwright.plans import linkage
-from linkwright.queries.decisions import md5_mod_sql
+from linkwright.queries.decisions import S, md5_mod_sql
 from linkwright.queries.tables import channels, read, rounded, scored
 from linkwright.queries.texts import FEATURES, _records, _weights
 
@@ -93,22 +95,26 @@ def partial_dependence(spark, sf_dir):
     return rounded(models.partial_dependence(rows, models.logistic().fit(rows, MODEL_FEATURES), "s_price", [0.1, 0.3, 0.5, 0.7, 0.9]))
 
 
-@query(None)
+@query(f"""WITH {S}, v AS (SELECT prob, count(*) FILTER (WHERE q % 2 = 0) AS a, count(*) FILTER (WHERE q % 2 = 1) AS b FROM pairs GROUP BY 1), u AS (SELECT sum(a) OVER (ORDER BY prob) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY prob) / sum(b) OVER () AS fb FROM v)
+  SELECT round(max(abs(fa - fb)), 6) AS ks FROM u""")
 def ks_distance(spark, sf_dir):
     pairs = scored(spark, sf_dir, "l_suppkey")
     return rounded(models.ks_distance(pairs.where("q % 2 = 0"), pairs.where("q % 2 = 1")))
 
 
-@query(None)
+@query(f"""WITH {S}, k AS (SELECT q, p FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY prob DESC, p) AS r FROM pairs WHERE prob >= 0.01) WHERE r <= 100),
+  t AS (SELECT p_partkey AS rid, string_split_regex(p_name || ' | ' || p_type, ' +') AS w FROM part), h AS (SELECT q, p, {md5_mod_sql('q::VARCHAR', 5)} AS fold, {md5_mod_sql('q::VARCHAR', 2)} AS bit FROM k)
+  SELECT q, p, CASE WHEN fold IN (1, 2) THEN 'B' WHEN fold IN (3, 4) THEN 'A' WHEN bit = 0 THEN 'A' ELSE 'B' END AS half,
+    round(len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(a.w || b.w))) * CASE WHEN fold IN (3, 4) OR (fold = 0 AND bit = 0) THEN 1 ELSE 2 END, 6) AS ce_logit FROM h JOIN t a ON a.rid = q JOIN t b ON b.rid = p""")
 def cross_fit_scores(spark, sf_dir):
-    """A second scorer with two half-models, over the undecided pairs; the models here are name overlaps."""
+    """A second scorer with two half-models, over the undecided pairs; the models here are name overlaps, B's twice as large as A's."""
 
     def overlap(pairs):
         return [len(set(a.split()) & set(b.split())) / max(1, len(set(a.split()) | set(b.split()))) for a, b in pairs]
 
     pairs = context.undecided(scored(spark, sf_dir, "l_suppkey"), "prob", most=100).withColumn("half", models.cross_fit_half(fold_of(F.col("q").cast("string")), F.col("q")))
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("rid"), F.concat_ws(" | ", "p_name", "p_type").alias("text"))
-    return models.second_scores(pairs.select("q", "p", "half"), parts, {"A": overlap, "B": overlap}).select("q", "p", "half", F.round("ce_logit", 6).alias("ce_logit"))
+    return models.second_scores(pairs.select("q", "p", "half"), parts, {"A": overlap, "B": lambda pairs: [2 * x for x in overlap(pairs)]}).select("q", "p", "half", F.round("ce_logit", 6).alias("ce_logit"))
 
 
 @query(f"SELECT c_custkey FROM customer WHERE NOT (c_custkey % 3 = 0 AND {md5_mod_sql('c_name || ' + chr(39) + '|drop' + chr(39), 10000)} < 4000)")
@@ -125,7 +131,27 @@ def smaller_universe(spark, sf_dir):
     return simulate.smaller_universe(own, truth).select("c_custkey")
 
 
-@query(None)
+def _uniform_sql(*keys: str) -> str:
+    return f"((('0x' || substr(md5({" || '|' || ".join(keys)}), 1, 10))::BIGINT + 0.5) / 1099511627776)"
+
+
+def _injection_sql() -> str:
+    u = lambda what: _uniform_sql("id", "copy::VARCHAR", f"'{what}'", "'0'")
+    total, steps = 0.0, []
+    for k in range(12):
+        total += math.exp(-simulate.RATE) * simulate.RATE**k / math.factorial(k)
+        steps.append(f"(un > {total!r}::DOUBLE)::INT")
+    return f"""WITH r AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, p_size AS size, string_split(p_name, ' ') AS w FROM part), n AS (SELECT *, {_uniform_sql("id", "'copies'", "'0'")} AS un FROM r),
+      c AS (SELECT *, unnest(range(1, 1 + {" + ".join(steps)})) AS copy FROM n),
+      a AS (SELECT *, floor({u('step')} * {simulate.REACH}) + 1 AS step, ['North', 'New', 'And Sons'][(floor({u('token')} * 3) + 1)::INT] AS token FROM c),
+      b AS (SELECT *, CASE WHEN size > 1 THEN greatest(1, size + CASE WHEN {u('sign')} < 0.5 THEN -step ELSE step END) ELSE size + step END AS moved,
+        CASE WHEN {u('add')} < {simulate.ADD} THEN CASE WHEN {u('place')} < {simulate.AFTER} THEN w || [token] ELSE [token] || w END ELSE w END AS w2 FROM a),
+      d AS (SELECT *, (floor({u('which')} * len(w2)) + 1)::INT AS gone FROM b)
+      SELECT id AS source_id, copy::INT AS copy, array_to_string(CASE WHEN len(w2) > 2 AND {u('drop')} < {simulate.DROP} THEN list_concat(w2[1:gone - 1], w2[gone + 1:]) ELSE w2 END, ' ') AS name,
+        CASE WHEN {u('number')} < {simulate.NUMBER} THEN moved::BIGINT::VARCHAR ELSE size::VARCHAR END || ' main street' AS address FROM d"""
+
+
+@query(_injection_sql())
 def near_copy_injection(spark, sf_dir):
     records = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_name").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" main street")).alias("address"))
     return simulate.perturbed_copies(records, ["north", "new", "and sons"])
