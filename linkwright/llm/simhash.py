@@ -40,8 +40,8 @@ FEW = 4_000_000
 BLOCK = 1 << 16
 #: ``keep_one``: words of a shingle and similarity of shingle sets.
 SET_WORDS, SIMILARITY = 5, 0.8
-#: Documents in which shingles are counted, and most of the counted ones; both decide the cost alone, never what is found.
-SAMPLE, MOST_COMMON = 10_000, 100_000
+#: One of so many documents in which shingles are counted, and most of the counted ones; both decide the cost alone, never what is found.
+SHARE, MOST_COMMON = 4, 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> list[int]:
@@ -205,20 +205,30 @@ def with_sets(texts: DataFrame, words: int = SET_WORDS) -> DataFrame:
     return texts.mapInArrow(run, "key long, shingles array<long>")
 
 
-def common_shingles(docs: DataFrame, words: int = SET_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of shingles that many documents share, from about ``SAMPLE`` of them: of bounded size."""
-    share = max(1, docs.count() // SAMPLE)
+def common_shingles(docs: DataFrame, words: int = SET_WORDS, share: int = SHARE, most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that many documents share: at most ``most``, those with the highest counts.
+
+    They are counted in one of ``share`` documents, a fixed part of them however many there are, so that what goes
+    unnoticed is held by a few dozen documents at every size.
+    """
     asked = docs.select(text_hash().alias("key"), "text").where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
-    counts = with_sets(asked, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    rows = counts.where(F.col("n") > 2).orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
-    found = np.array([(r.s, r.n) for r in rows], np.int64).reshape(-1, 2)
-    return tuple(found[np.argsort(found[:, 0])].T)
+    counts = materialise(with_sets(asked, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2"), "simhash-common")
+    least, known = 3, 0
+    for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():  # ten thousand rows at most
+        known += r.k
+        if known > most:
+            least = r.n + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()
+    own, n = found["s"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(own)
+    return own[order], n[order]
 
 
 def shingle_prefixes(docs: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
-    """(doc_id, text_hash, nid, n, prefix): a key of the document's set of shingles, its size, and its first shingles, rare ones first.
+    """(doc_id, text_hash, nid, n, weight, prefix): a key of the document's set of shingles, its size, how common they are, and its first shingles, rare ones first.
 
-    The order is that of the sampled counts, then of the hashes. Any order that is the same for all finds every pair; this
+    The order is that of the counts, then of the hashes. Any order that is the same for all finds every pair; this
     one keeps shingles that many documents share out of the prefixes.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
@@ -228,16 +238,17 @@ def shingle_prefixes(docs: DataFrame, similarity: float = SIMILARITY, words: int
         for batch in batches:
             sets = [set_hashes(t.as_py(), words) for t in batch.column(1)]
             nids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            first = []
+            first, weights = [], []
             for x in sets:
                 often = np.zeros(len(x), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     often = np.where(known[at] == x, counts[at], 0)
+                weights.append(often.sum() / max(1, len(x)))
                 first.append(x[np.argsort(often, kind="stable")[: prefix_length(len(x), similarity)]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nids), pa.array([len(x) for x in sets], pa.int32()), _lists(first)], names=["doc_id", "text_hash", "nid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nids), pa.array([len(x) for x in sets], pa.int32()), pa.array(weights, pa.float32()), _lists(first)], names=["doc_id", "text_hash", "nid", "n", "weight", "prefix"])
 
-    return spread(docs.select("doc_id", "text", text_hash().alias("text_hash"))).mapInArrow(run, "doc_id long, text_hash long, nid long, n int, prefix array<long>")
+    return spread(docs.select("doc_id", "text", text_hash().alias("text_hash"))).mapInArrow(run, "doc_id long, text_hash long, nid long, n int, weight float, prefix array<long>")
 
 
 def could_be(similarity: float, a: str, b: str) -> Column:
@@ -247,13 +258,14 @@ def could_be(similarity: float, a: str, b: str) -> Column:
 
 
 def shared_shingles(nodes: DataFrame) -> DataFrame:
-    """(s, own, hub) of ``nodes(nid, n, prefix)`` for prefix shingles that several sets hold.
+    """(s, own, hub) of ``nodes(nid, n, weight, prefix)`` for prefix shingles that several sets hold.
 
-    ``own`` and ``hub`` are (nid, n, left): a holder, and the one with the smallest nid; ``left`` counts the shingles from this one on.
+    ``own`` and ``hub`` are (weight, nid, n, left): a holder, and the one with the most common shingles; ``left`` counts the shingles
+    from this one on. A text that others were made from by changes has nothing of its own, so it is the hub among them.
     """
-    one = F.struct("nid", "n", (F.col("n") - F.col("at")).alias("left"))
-    tokens = nodes.select("nid", "n", F.posexplode("prefix").alias("at", "s")).select("s", one.alias("own"))
-    groups = tokens.groupBy("s").agg(F.min("own").alias("hub"), F.count("*").alias("holders")).where("holders > 1").select("s", "hub")
+    one = F.struct("weight", "nid", "n", (F.col("n") - F.col("at")).alias("left"))
+    tokens = nodes.select("nid", "n", "weight", F.posexplode("prefix").alias("at", "s")).select("s", one.alias("own"))
+    groups = tokens.groupBy("s").agg(F.max("own").alias("hub"), F.count("*").alias("holders")).where("holders > 1").select("s", "hub")
     return materialise(tokens.join(groups, "s"), "simhash-shared")
 
 
@@ -283,14 +295,14 @@ def texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
     wanted = materialise(ends.join(nodes, "nid").select("nid", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "simhash-wanted")  # of known size: broadcast where small
     rows = docs.select("doc_id", "text").join(wanted, (text_hash() == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.select("nid", "text").dropDuplicates(["nid"])
+    return materialise(rows.select("nid", "text").dropDuplicates(["nid"]), "simhash-texts")  # so that a join by one hub can be split
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
-    """(a, b) of ``nodes(nid, doc_id, text_hash, n, prefix)``: similar sets, and enough of them to join all that are joined by any.
+    """(a, b) of ``nodes(nid, doc_id, text_hash, n, weight, prefix)``: similar sets, and enough of them to join all that are joined by any.
 
-    Two similar sets share a shingle of their prefixes. First each holder of a shingle is compared with the holder of the smallest
-    nid alone, which joins most of a group of copies by one comparison for each. Then holders that are still in
+    Two similar sets share a shingle of their prefixes. First each holder of a shingle is compared with the group's hub
+    alone, which joins most of a group of copies by one comparison for each. Then holders that are still in
     different components are compared, all of them; pairs inside a component have nothing to add.
     """
     shared = shared_shingles(nodes)
@@ -305,7 +317,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILAR
     held = rooted.join(open_, "s")
     side = lambda k: held.select("s", F.col("own").alias(k), F.col("root").alias(f"root_{k}"))
     met = side("x").join(side("y"), "s").where((F.col("root_x") < F.col("root_y")) & could_be(similarity, "x", "y"))
-    rest = met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = materialise(rest, "simhash-rest")
     return links.unionByName(confirmed(rest, texts_of(docs, nodes, rest), similarity, words))
 
@@ -321,7 +334,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = SET_W
     ready(docs.sparkSession)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     prints = shingle_prefixes(docs, similarity, words)
-    nodes = materialise(prints.groupBy("nid").agg(least, F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")).select("nid", "first.doc_id", "first.text_hash", "n", "prefix"), "simhash-nodes")
+    nodes = materialise(prints.groupBy("nid").agg(least, F.any_value("n").alias("n"), F.any_value("weight").alias("weight"), F.any_value("prefix").alias("prefix")).select("nid", "first.doc_id", "first.text_hash", "n", "weight", "prefix"), "simhash-nodes")
     linked = ranked_components(similar_links(docs, nodes, similarity, words), nodes.select("nid", "doc_id"), "nid", "doc_id")
     gone = linked.where(F.col("nid") != F.col("root_key")).select("nid")
     kept = materialise(nodes.join(gone, "nid", "left_anti").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")), "simhash-kept")
