@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwright.queries import decisions, diagnostics, plans, texts
+from linkwright.queries import decisions, diagnostics, plans, suites, texts
 from linkwright.session import workers_can_import
 
-MODULES = (decisions, texts, diagnostics, plans)
+MODULES = (decisions, texts, diagnostics, plans, suites)
 
 
 def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -132,14 +132,16 @@ def top_k(pairs: DataFrame, score: str, k: int, least: float = 1e-6) -> DataFram
     return pairs.where(F.col(score) > least).withColumn("_r", within_query(F.col(score))).where(F.col("_r") <= k).drop("_r")
 
 
-def candidates(records: DataFrame, channels: Mapping[str, Channel] | None = None, max_df: int = 10_000, least: float = 1e-6) -> DataFrame:
+def candidates(records: DataFrame, channels: Mapping[str, Channel] | None = None, max_df: int = 10_000, least: float = 1e-6, asked: Column | None = None) -> DataFrame:
     """(q, p, s_<channel> ...): union of all channels' best, each pair scored on every channel.
 
-    Scores are rounded to nine places before they are ranked: sums come in any order, and equal scores must go by key.
+    ``asked`` restricts the queries; weights are those of all records. Scores are rounded to nine places before they are ranked: sums come in any order, and equal scores must go by key.
     """
     channels = dict(channels or default_channels())
     bases = sorted({b for c in channels.values() for b in c.weights})
-    weights = tfidf(long_features(records, bases), records, max_df).persist()  # both sides of the join read it
+    weights = tfidf(long_features(records, bases), records, max_df)
+    if asked is not None:
+        weights = weights.join(records.where(F.col("is_query") & ~asked).select("rid"), "rid", "left_anti")
     dots = dot_products(weights, bases)
     scored = dots.select("q", "p", *[F.round(channel_score(c), 9).alias(f"s_{n}") for n, c in channels.items()])
     ranked = scored.withColumns({f"_r_{n}": within_query(F.col(f"s_{n}")) for n in channels})

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+_LOCAL: list[str] = []
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8, name: str = "linkwright") -> SparkSession:
@@ -29,3 +34,26 @@ def workers_can_import(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a stage table where driver and executors both write: under ``spark.checkpoint.dir``, or else the warehouse.
+
+    A local master that has neither set gets a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not root and master.startswith("local") and not master.startswith("local-cluster"):
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="linkwright-stages-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        root = Path(_LOCAL[0]).as_uri()
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/linkwright-stages/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a stored table: its lineage is cut, and what reads it several times computes it once."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -60,3 +60,18 @@ def last_record(log: DataFrame, key: str, order: str) -> DataFrame:
     """Of a log with one record a line, the last one of each key."""
     others = [c for c in log.columns if c != key]
     return log.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*")
+
+
+def texts_of(spark: SparkSession, config: EngineConfig, split: str, ids: DataFrame) -> DataFrame:
+    """Names and addresses of the records of ``ids(entity_id)`` alone."""
+    return read_split(spark, config, split).join(ids.select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", "business_name", "business_address")
+
+
+def read_scores(spark: SparkSession, path: str, pairs: DataFrame, name: str = "prob") -> DataFrame:
+    """``pairs(q, p, ...)`` with their saved scores; by key, never by position."""
+    return pairs.join(spark.read.parquet(path).select("q", "p", F.col("score").alias(name)), ["q", "p"])
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of JSON lines: dictionaries, specifications, logs."""
+    return spark.read.schema(schema).json(path)

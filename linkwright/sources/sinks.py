@@ -14,8 +14,8 @@ def set_rows(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(sets, "q_id", "left").select("position", "q_id", F.coalesce("ids", F.lit("")).alias("ids"))
 
 
-def write_sets(rows: DataFrame, path: str, column: str, one_file: bool = True) -> None:
-    """TSV with a header, in the order of ``position``."""
+def write_sets(rows: DataFrame, path: str, column: str, one_file: bool = False) -> None:
+    """TSV with a header, in the order of ``position``; part files follow one another unless ``one_file`` asks for a single task."""
     out = rows.orderBy("position").select(F.col("q_id").alias("source1_entity_id"), F.col("ids").alias(column))
     (out.coalesce(1) if one_file else out).write.mode("overwrite").options(sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="").csv(path)
 
@@ -49,3 +49,22 @@ def write_stage(df: DataFrame, path: str) -> None:
 def append_record(spark: SparkSession, record: dict, path: str) -> None:
     """Adds a record, of whatever keys, to a log of JSON lines."""
     spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").write.mode("append").text(path)
+
+
+def write_scores(scored: DataFrame, path: str, name: str = "prob") -> None:
+    """Scores as a table keyed by pair."""
+    write_stage(scored.select("q", "p", F.col(name).cast("double").alias("score")), path)
+
+
+def read_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(q_id, ids) of a written set table."""
+    return spark.read.schema("q_id string, ids string").options(sep="\t", header=True, quote="", escape="", enforceSchema=True).csv(path).na.fill("")
+
+
+def validate(spark: SparkSession, match_path: str, candidate_path: str, queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """The contract over written files; raises ``ValueError`` with the rules that don't hold."""
+    found = contract(read_sets(spark, match_path), read_sets(spark, candidate_path), queries.select(F.col("q_id").cast("string").alias("q_id")), pool)
+    broken = {r.rule: r.violations for r in found.where("violations > 0").collect()}  # a row a rule
+    if broken:
+        raise ValueError(f"the outputs break the contract: {broken}")
+    return found
