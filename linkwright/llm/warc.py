@@ -107,9 +107,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     """Writes ``pages(page_id, url, html)`` under ``folder`` and returns the index table, already stored there."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("large", F.octet_length("payload") >= min_bytes)
-    first = rows.where("large").groupBy("sha1").agg(F.min("page_id").alias("first_id"))
+    # Payloads that occur once need no partner; of known size, the others are broadcast where they are few.
+    first = rows.where("large").groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("k")).where("k > 1")
+    first = materialise(first.select("sha1", "first_id", F.lit(True).alias("repeated")), "warc-repeated")
     rows = rows.join(first, "sha1", "left")
-    rows = rows.withColumn("revisit", F.col("large") & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    rows = rows.withColumn("revisit", F.col("large") & F.coalesce("repeated", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_id")))
     rows = rows.select("page_id", "url", "sha1", "first_id", "revisit", F.octet_length("payload").alias("n"), F.when(~F.col("revisit"), F.col("payload")).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +210,7 @@ b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8),
   FROM d),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM b)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
 FROM f
 """
