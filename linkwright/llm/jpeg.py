@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwright.llm.common import chunks, ready, spread, table
+from linkwright.llm.common import chunks, materialise, ready, spread, table
 
 ROW = 64
 BLOCK = 64
@@ -382,7 +382,7 @@ def media_features(media: DataFrame, column: str = "media", keep: tuple[str, ...
 
 def op3_jpeg_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
-    media = media_of_texts(table(spark, sf_dir, "documents"))
+    media = materialise(media_of_texts(table(spark, sf_dir, "documents")), "media")  # stored; what follows reads the stored bytes
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
     names = [f.split()[0] for f in schema.split(", ")]
 
