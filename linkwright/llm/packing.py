@@ -1,12 +1,14 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Bulk-synchronous best fit. Lengths and gaps are integers of at most ``capacity``, so range-sorting
+Best fit by classes. Lengths and gaps are integers of at most ``capacity``, so range-sorting
 documents and gaps puts them into at most ``capacity`` classes each. A round takes the longest
 class still unplaced and sweeps upwards through the sorted gaps from its successor, the smallest gap
 that holds it; of several pieces that want the same gap, the rank inside the class decides: piece
 number k of the class takes gap number k of the run. Then the gaps are updated and the next
-round starts. The rounds see counts only, at most ``capacity`` numbers whatever the corpus; ranks and
-places are worked out where the pieces are, on the executors.
+round starts. The rounds see counts only, at most ``capacity`` numbers whatever the corpus, so they run on the
+driver; ranks and places are worked out where the pieces are, on the executors. The result is that of best fit on
+single pieces in decreasing order (tests compare the two). The rounds are not distributed sweeps over single documents:
+with one match for each gap in a round those need more sequences and many more rounds (figures in the README).
 
 Nulls: a null text is an empty one and packs as a single end id; a null id is kept.
 Empty table: no rows. Repeated rows are packed each. Ties of length go by rank.
@@ -32,6 +34,8 @@ from linkwright.llm.common import materialise, ready, spread, table
 
 CAPACITY = 1024
 END_ID = 2
+#: Steps of a plan that are broadcast.
+MOST_STEPS = 1 << 18
 _ENCODERS: dict = {}
 
 
@@ -114,18 +118,25 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     for size in sorted(counts, reverse=True):
         rank, left = 0, counts[size]
         while left:
-            if successor := next((g for g in range(size, capacity + 1) if gaps[g]), 0):
-                at, n = gaps[successor].pop()
-                if n > left:
-                    gaps[successor].append((at + left, n - left))
-                n = min(n, left)
+            gap = next((g for g in range(size, capacity + 1) if gaps[g]), 0)
+            if gap:
+                at, n = gaps[gap].pop()
             else:  # no gap holds it: as many new sequences as the rest of the class fills
-                successor, at, n = capacity, opened, -(-left // max(1, capacity // size))
+                gap, at, n = capacity, opened, -(-left // (capacity // size))
                 opened += n
-            placed.append((size, rank, rank + n, at, capacity - successor))
-            if successor > size:
-                gaps[successor - size].append((at, n))
-            rank, left = rank + n, left - n
+            each = gap // size  # a gap takes pieces until it holds no more; the last one taken from may keep room
+            full = min(n, left // each)
+            rest = left - full * each if full < n else 0
+            for layer in range(each if full else 0):
+                placed.append((size, rank, rank + full, at, capacity - gap + layer * size))
+                rank += full
+            for layer in range(rest):
+                placed.append((size, rank, rank + 1, at + full, capacity - gap + layer * size))
+                rank += 1
+            for g, start, k in ((gap - each * size, at, full), (gap - rest * size, at + full, min(1, rest)), (gap, at + full + min(1, rest), n - full - min(1, rest))):
+                if g and k:
+                    gaps[g].append((start, k))
+            left -= full * each + rest
     return placed
 
 
@@ -136,8 +147,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    # The plan's size is bound by the capacity, not by the corpus.
-    steps = F.broadcast(spark.createDataFrame(plan(counts, capacity), "size int, lo long, hi long, first_sequence long, offset long"))
+    # The plan's size is bound by the capacity, not by the corpus; a longer one than is good to broadcast is joined by length.
+    placed = plan(counts, capacity)
+    steps = spark.createDataFrame(placed, "size int, lo long, hi long, first_sequence long, offset long")
+    steps = F.broadcast(steps) if len(placed) <= MOST_STEPS else steps
     ranked = pieces.join(by_task.select("length", "task", "before"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.join(steps, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("lo"))
 

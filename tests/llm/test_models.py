@@ -247,6 +247,64 @@ def test_random_indexing_is_deterministic():
     assert quality.shape("THE!!") == "\0X!!" and quality.shape("the12***") == "\0x9***" and quality.shape("Word") == "\0Xx"
 
 
+def test_word_vectors_equal_plain_loops(monkeypatch):
+    """Random indexing word by word: own index vector and the sum of the neighbours' ones, each of length one; pooling by parts."""
+    monkeypatch.setattr(quality, "FREQUENT", 2)
+    monkeypatch.setattr(quality, "PART", 5)
+    texts = ["the river runs by the old stone", "the old stone by the River 42", "new new words under the cloud by 77 rivers!", "the stone"]
+    own = quality.Vectors(texts)
+
+    def name(token, before):
+        if token == before:
+            return quality.SAME
+        return token if token in own.number else quality.shape(token) if quality.shape(token) in own.number else quality.UNKNOWN
+
+    def named(text):
+        words = text.split()
+        return [name(w, b) for w, b in zip(words, [None, *words])]
+
+    def index(n):
+        v = np.zeros(quality.WIDTH)
+        for place, sign in zip(*quality.index_vector(n)):
+            v[place] = sign
+        return v
+
+    context = defaultdict(lambda: np.zeros(quality.WIDTH))
+    for t in texts:
+        names = named(t)
+        for i, n in enumerate(names):
+            for j in range(max(0, i - quality.WINDOW), min(len(names), i + quality.WINDOW + 1)):
+                if i != j:
+                    context[n] += index(names[j])
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    vector = {n: unit(index(n)) + unit(context[n]) for n in own.number}
+    for n, at in own.number.items():
+        assert np.allclose(own.table[at], vector[n], atol=1e-6)
+    for t in [*texts, "river Stone 9 unseen-word the the", ""]:
+        rows = [vector[n] for n in named(t)]
+        expected = np.zeros(2 * quality.WIDTH)
+        if rows:
+            mean = np.mean(rows, 0)
+            parts = [rows[i : i + 5] for i in range(0, len(rows), 5)]
+            spread = np.sqrt(sum(len(p) * (np.mean(p, 0) - mean) ** 2 for p in parts) / len(rows))
+            expected = np.concatenate([mean, spread])
+        assert np.allclose(own.pool(own.numbers(t.split(), {})), expected, atol=1e-5)
+
+
+def test_network_equals_plain_layers():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(80, 6)), (rng.random(80) < 0.5).astype(int)
+    x[y == 1, 0] += 3
+    net = quality.Network(x, y, np.ones(80))
+    net.calibrate(x, y, np.ones(80))
+    w1, b1, w2, b2 = net.p
+    for row, p in zip(x, net(x)):
+        z = [(v - m) / s for v, m, s in zip(row, net.mean, net.scale)]
+        hidden = [max(0.0, sum(z[i] * w1[i, j] for i in range(6)) + b1[j]) for j in range(quality.HIDDEN)]
+        assert abs(p - 1 / (1 + np.exp(-(np.dot(hidden, w2) + b2[0]) / net.temperature))) < 1e-9
+    assert np.mean((net(x) > 0.5) == y) > 0.9 and net.temperature >= 1
+
+
 LABELS = "doc_id long, quality int, toxic int"
 
 

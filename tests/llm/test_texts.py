@@ -96,6 +96,31 @@ def test_plan_places_each_rank_once():
     assert max(used.values()) <= 100 and set(ranks.values()) == {1} and len(ranks) == sum(counts.values())
 
 
+@pytest.mark.parametrize("seed,low,high", [(0, 1, 101), (1, 1, 12), (2, 20, 45), (3, 50, 101)])
+def test_plan_equals_best_fit_on_single_pieces(seed, low, high):
+    """Decreasing best fit piece by piece: the same number of sequences and the same gaps left."""
+    rng = np.random.default_rng(seed)
+    sizes = sorted(rng.integers(low, high, 700).tolist(), reverse=True)
+    gaps = []
+    for size in sizes:
+        fitting = [g for g in gaps if g >= size]
+        if fitting:
+            gaps.remove(min(fitting))
+            gaps.append(min(fitting) - size)
+        else:
+            gaps.append(100 - size)
+    used = defaultdict(int)
+    for size, lo, hi, first, _ in packing.plan(dict(Counter(sizes)), 100):
+        for i in range(hi - lo):
+            used[first + i] += size
+    assert sorted(100 - x for x in used.values()) == sorted(gaps)
+
+
+def test_long_plans_are_joined(docs, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_STEPS", 0)
+    check_packed(rows(packing.pack_documents(docs, 64)), [(r.doc_id, r.text) for r in docs.collect()], 64)
+
+
 # --- sharding --------------------------------------------------------------------------------------------------
 
 
@@ -137,8 +162,12 @@ def test_place_keeps_rows(docs, no_docs, tmp_path):
 
 def test_sharding_query(spark, sf):
     table = sharding.lookup_table([f"shard-{i:04d}" for i in range(sharding.SHARDS)])
+    import xxhash
+
     for r in rows(sharding.op2_permutation_sharding(spark, sf)):
         assert r["shard"] == f"shard-{table[r['slot']]:04d}"
+        signed = int.from_bytes(xxhash.xxh64(struct.pack("<q", r["doc_id"]), 42).digest(), "big", signed=True)
+        assert r["slot"] == signed % sharding.SLOTS
 
 
 # --- SimHash ---------------------------------------------------------------------------------------------------
