@@ -26,3 +26,11 @@ def learn_tokens(pairs: DataFrame, min_count: int = 3, min_share: float = 0.5, m
     counts = aligned.groupBy("token", "target").agg(F.count("*").alias("n"))
     modal = counts.groupBy("token").agg(F.max_by(F.struct("target", "n"), F.struct("n", "target")).alias("m")).select("token", "m.target", "m.n")
     return modal.join(total, "token").where((F.col("n") >= min_count) & (F.col("n") / F.col("total") >= min_share) & (F.col("token") != F.col("target"))).select("token", "target")
+
+
+def dictionary(learned: DataFrame, most: int = 50_000) -> dict[str, str]:
+    """``learned(token, target)`` as the dictionary that normalisation takes along to the workers; more than ``most`` entries are an error."""
+    rows = learned.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} learned tokens: raise min_count or min_share")
+    return {r.token: r.target for r in rows}

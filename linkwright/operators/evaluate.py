@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +52,35 @@ def fold_report(scores: DataFrame) -> DataFrame:
     return scores.groupBy("fold").agg(F.avg("f").alias("f")).agg(F.avg("f").alias("mean_f05"), F.stddev_pop("f").alias("std_f05"))
 
 
+def poisson_weights(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """(keys, replicates): Poisson(1) weights from a mixed hash of each key (as unsigned longs) and replicate."""
+    with np.errstate(over="ignore"):
+        x = keys[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ x >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53
+    return np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]), u).astype(float)
+
+
 def bootstrap(before: DataFrame, after: DataFrame, replicates: int = 1000) -> DataFrame:
     """Mean difference of two runs' per-query scores and its 95 % interval, by Poisson weights from hashes of (query, replicate).
 
-    Every query is expanded to its replicates and summed at once, in partial aggregates of ``replicates`` rows.
+    Each task sums the weights of its queries over all replicates at once and returns one row a replicate.
     """
-    d = before.select("q", F.col("f").alias("f0")).join(after.select("q", F.col("f").alias("f1")), "q").select("q", (F.col("f1") - F.col("f0")).alias("d"))
-    u = (F.pmod(F.xxhash64("q", "rep"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    cumulative, weight, term = 0.0, F.lit(0), 2.718281828459045**-1
-    for k in range(1, 9):
-        cumulative += term
-        weight = weight + (u > cumulative).cast("int")
-        term /= k
-    sums = d.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
-    interval = sums.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    d = before.select("q", F.col("f").alias("f0")).join(after.select("q", F.col("f").alias("f1")), "q").select(F.xxhash64("q").alias("key"), (F.col("f1") - F.col("f0")).alias("d"))
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weight = np.zeros(replicates), np.zeros(replicates)
+        for pdf in frames:
+            keys, own = pdf["key"].to_numpy().view(np.uint64), pdf["d"].to_numpy()
+            for i in range(0, len(own), 1024):
+                w = poisson_weights(keys[i : i + 1024], replicates)
+                total += own[i : i + 1024] @ w
+                weight += w.sum(0)
+        yield pd.DataFrame({"rep": np.arange(replicates), "wd": total, "w": weight})
+
+    means = d.mapInPandas(sums, "rep int, wd double, w double").groupBy("rep").agg((F.sum("wd") / F.sum("w")).alias("m"))
+    interval = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return d.agg(F.avg("d").alias("mean_diff")).crossJoin(F.broadcast(interval))  # one row each
 
 

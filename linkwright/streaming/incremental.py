@@ -1,7 +1,7 @@
 """Incremental linkage over Structured Streaming: an extension of ours.
 
 Scored pairs arrive in micro-batches; of each pool record the best claim so far is kept. Each batch writes a new version of
-the claims beside the old one and then a marker with its number, so a batch that is replayed or half-written changes nothing.
+the claims beside the old one and then a marker with its number, so a batch that is replayed or half-written changes nothing; versions older than the one before go.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ def keep_claims(pairs: DataFrame, path: str, checkpoint: str, threshold: float =
         spark = batch.sparkSession
         merge(current(spark, path), batch, threshold).write.mode("overwrite").parquet(f"{path}/claims-{number}")
         spark.createDataFrame([(number,)], "batch long").write.mode("append").parquet(f"{path}/done")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/claims-{number - 2}")  # the one before may still be read
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = pairs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -7,11 +7,13 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linkwright.functions import addresses, arrays, hashing, kernels, names, numbers, script
-from linkwright.functions.learned import learn_tokens
+from linkwright.functions.learned import dictionary, learn_tokens
+from linkwright.operators.evaluate import poisson_weights
 
 
 def one(spark, value, column):
@@ -157,3 +159,15 @@ def test_learned_dictionary(spark):
     found = {r.token: r.target for r in learn_tokens(spark.createDataFrame(pairs, "latin string, other string")).collect()}
     assert "traders" in found.values() or "ramesh" in found.values()
     assert learn_tokens(spark.createDataFrame(pairs[:1], "latin string, other string")).count() == 0
+
+
+def test_dictionary_is_bounded(spark):
+    learned = spark.createDataFrame([("a", "x"), ("b", "y")], "token string, target string")
+    assert dictionary(learned) == {"a": "x", "b": "y"}
+    with pytest.raises(ValueError):
+        dictionary(learned, 1)
+
+
+def test_poisson_weights():
+    w = poisson_weights(np.arange(400, dtype=np.uint64) * np.uint64(7919), 300)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03 and abs(np.corrcoef(w[:200].ravel(), w[200:].ravel())[0, 1]) < 0.02
