@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ CHUNK_BYTES = 4 << 20
 #: Bytes of one Arrow batch between the JVM and Python.
 ARROW_BYTES = str(8 << 20)
 _LOCAL_SCRATCH: list[str] = []
+_DROPPED_AT_EXIT: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +61,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """Where all scratch tables and archives of this application are."""
-    return f"{scratch_root(spark)}/linkwright-{spark.sparkContext.applicationId}"
+    """Where all scratch tables and archives of this application are; they go when its driver ends."""
+    folder = f"{scratch_root(spark)}/linkwright-{spark.sparkContext.applicationId}"
+    if folder not in _DROPPED_AT_EXIT:
+        _DROPPED_AT_EXIT.add(folder)
+        atexit.register(_drop_at_exit, spark, folder)
+    return folder
+
+
+def _drop_at_exit(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session hasn't been stopped
+        with contextlib.suppress(Py4JError, OSError):
+            delete_path(spark, folder)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

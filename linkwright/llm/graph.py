@@ -12,18 +12,34 @@ from pyspark.sql import functions as F
 from linkwright.llm.common import drop_table, materialise
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+def _large_star(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node linked with the smallest of the node and its neighbours."""
+    return _both(links).where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+def _small_star(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Every smaller neighbour of a node, and the node, linked with the smallest of them."""
     met = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return met.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _both(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _round(links: DataFrame) -> DataFrame:
+    """A large star and a small one. What each node looks up is a stored table: then the join is one of two plain
+    shuffles, whose hot keys (the middle of a large star) Spark can split.
+    """
+    near = materialise(_both(links).groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "components-near")
+    large = materialise(_large_star(links, near), "components-large")
+    least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "components-least")
+    after = materialise(_small_star(large, least), "components")
+    for own in (near, large, least):
+        drop_table(own)
+    return after
+
+
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -53,7 +69,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialise(now, "components")
     before = _state(now)
     for _ in range(rounds if before[0] else 0):
-        after = materialise(_small_star(_large_star(now)), "components")
+        after = _round(now)
         drop_table(now)
         now, state = after, _state(after)
         if state == before:
