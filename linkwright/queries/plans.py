@@ -10,9 +10,10 @@ from linkwright.config import Channel
 from linkwright.functions.hashing import fold_of
 from linkwright.operators import blocking, context, decision, evaluate, models, shift, simulate
 from linkwright.plans import linkage
+from linkwright.queries import raw
 from linkwright.queries.decisions import S, md5_mod_sql
 from linkwright.queries.tables import channels, read, rounded, scored
-from linkwright.queries.texts import FEATURES, _records, _weights
+from linkwright.queries.texts import BASE_ROWS, FEATURES, _records, _weights
 
 QUERIES, SQL = {}, {}
 
@@ -41,7 +42,14 @@ def document_records(spark, sf_dir):
     )
 
 
-@query(None)
+@query(f"""WITH {raw.DOCUMENTS_SQL}, long AS (SELECT DISTINCT * FROM ({BASE_ROWS}) WHERE base <> 'conj'), sz AS (SELECT country, count(*) AS n FROM rec GROUP BY 1),
+  df AS (SELECT country, base, feature, count(*) AS df FROM long GROUP BY ALL HAVING count(*) BETWEEN 2 AND 10000), idf AS (SELECT long.*, ln(n / df) AS idf FROM long JOIN df USING (country, base, feature) JOIN sz USING (country)),
+  wt AS (SELECT *, idf / norm AS w FROM (SELECT *, sqrt(sum(idf * idf) OVER (PARTITION BY rid, base)) AS norm FROM idf) WHERE norm > 0),
+  dot AS (SELECT x.rid AS q, z.rid AS p, {', '.join(f"sum(CASE WHEN base = '{b}' THEN x.w * z.w ELSE 0 END) AS d_{b}" for b in ('name', 'addr', 'gram'))} FROM wt x JOIN wt z USING (country, base, feature) WHERE x.is_query AND NOT z.is_query GROUP BY 1, 2),
+  s AS (SELECT q, p, round(d_name, 9) AS s1, round(d_gram, 9) AS s2, round(d_name * 0.5 + d_addr * 0.5, 9) AS s3 FROM dot), r AS (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY q ORDER BY s{i} DESC, p) AS r{i}' for i in (1, 2, 3))} FROM s),
+  c AS (SELECT q, p, least(greatest(s1, s2, s3), 1) AS prob FROM r WHERE {' OR '.join(f'(r{i} <= 10 AND s{i} > 1e-6)' for i in (1, 2, 3))}),
+  x AS (SELECT q, p FROM (SELECT *, max(prob) OVER (PARTITION BY p) AS top FROM c WHERE prob >= 0.6) WHERE prob >= top), g AS (SELECT q, count(*) AS n, string_agg(p::VARCHAR, ',' ORDER BY p) AS ids FROM (SELECT DISTINCT q, p FROM x) GROUP BY q)
+  SELECT doc_id AS q, coalesce(n, 0) AS n_matches, coalesce(ids, '') AS matches FROM documents LEFT JOIN g ON g.q = doc_id WHERE doc_id % 4 = 0""")
 def linkage_documents(spark, sf_dir):
     """Accepted matches of every query document, empty sets included."""
     sets = linkage.link(document_records(spark, sf_dir), FLAGSHIP, lambda x: decision.threshold_policy(x, 0.6))
