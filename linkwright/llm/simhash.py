@@ -150,7 +150,7 @@ def anchor_pairs(rows: DataFrame, word: str, carried: list[str], near: Column, p
     side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in carried]
     homes = rows.select(*side("a"), F.explode(F.array(*[s.home(F.col(word)) for s in parts])).alias("home"))
     visitors = rows.select(*side("b"), F.explode(F.concat(*[s.visits(F.col(word)) for s in parts])).alias("visited"))
-    return visitors.join(homes.hint("shuffle_hash"), (F.col("home") == F.col("visited")) & near)
+    return visitors.join(homes, (F.col("home") == F.col("visited")) & near)
 
 
 def differing(a: str, b: str) -> Column:
@@ -164,10 +164,33 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, n_sections: int
     return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
 
 
+def joining_links(fps: DataFrame, distance: int = DISTANCE, n_sections: int = 3) -> DataFrame:
+    """``fps(fp)``, all different -> (a, b): links that join all that any links join, without all pairs of a family of fingerprints.
+
+    At each anchor the visitors are first compared with the smallest fingerprint at home there alone, and each keeps one link. Then anchors where
+    fingerprints of different components meet are gone through whole; inside a component nothing is left to find.
+    """
+    parts = sections(n_sections, distance)
+    homes = lambda df, *more: df.select(F.col("fp").alias("a"), *more, F.explode(F.array(*[s.home(F.col("fp")) for s in parts])).alias("anchor"))
+    hubs = homes(fps).groupBy("anchor").agg(F.min("a").alias("hub"), F.count("*").alias("k"))
+    visits = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*[s.visits(F.col("fp")) for s in parts])).alias("anchor"))
+    met = materialise(visits.join(hubs, "anchor").where("k > 1 OR hub <> b").select("anchor", "b", "hub"), "simhash-met")  # visits to others' homes
+    star = met.where((F.col("hub") != F.col("b")) & (differing("hub", "b") <= distance)).groupBy("b").agg(F.min("hub").alias("a"))
+    star = materialise(star.select("a", "b"), "simhash-star")  # one for each visitor
+    root = connected_components(star).select(F.col("node").alias("fp"), "root")
+    rooted = materialise(fps.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    home = homes(rooted, F.col("root").alias("ra"))
+    visit = met.select("anchor", "b").join(rooted.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b")
+    seen = visit.select("anchor", F.col("rb").alias("r")).unionByName(home.select("anchor", F.col("ra").alias("r")))
+    open_ = materialise(seen.groupBy("anchor").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("anchor"), "simhash-open")
+    rest = visit.join(open_, "anchor").join(home, "anchor").where((F.col("ra") < F.col("rb")) & (differing("a", "b") <= distance))
+    return star.unionByName(rest.select("a", "b").distinct())
+
+
 def components_of(prints: DataFrame, distance: int = DISTANCE, n_sections: int | None = None) -> DataFrame:
     """Adds component_id to rows with ``doc_id`` and ``fp``."""
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    links = fingerprint_links(classes.select("fp"), distance, n_sections or (3 if classes.count() <= FEW else 2))
+    links = joining_links(classes.select("fp"), distance, n_sections or (3 if classes.count() <= FEW else 2))
     linked = materialise(ranked_components(links, classes, "fp", "first_id"), "simhash-components").select("fp", F.lit(True).alias("linked"), "component_id")
     named = classes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
     return prints.join(named, "fp")

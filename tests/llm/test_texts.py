@@ -222,6 +222,28 @@ def test_anchors_miss_no_link(spark, n_sections):
     assert found == expected and len(expected) > 200
 
 
+@pytest.mark.parametrize("n_sections", [2, 3])
+def test_joining_links_join_what_links_do(spark, n_sections):
+    """Families around one fingerprint, chains of small steps, and strangers; far fewer links than pairs."""
+    rng = np.random.default_rng(13)
+    flipped = lambda x, k: x ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False))
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    prints = set(base) | {flipped(base[0], 2) for _ in range(150)}
+    for start in base[1:6]:
+        x = start
+        for _ in range(12):
+            x = flipped(x, 3)
+            prints.add(x)
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    fps = spark.createDataFrame([(x,) for x in signed], "fp long")
+    found = simhash.joining_links(fps, 4, n_sections).collect()
+    assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 4 for r in found)
+    expected = brute_components(signed, [x & ((1 << 64) - 1) for x in signed], 4)
+    root = {r.node: r.root for r in graph.connected_components(spark.createDataFrame([(r.a, r.b) for r in found], "a long, b long")).collect()}
+    assert [root.get(x, x) for x in signed] == expected
+    assert len(found) < simhash.fingerprint_links(fps, 4, n_sections).count() / 5
+
+
 def test_every_word_is_near_its_home():
     for part in simhash.sections(3) + simhash.sections(2):
         assert sum(map(len, part.patterns())) == len({e for p in part.patterns() for e in p})
