@@ -3,7 +3,7 @@
 Two models, of the running text of toxic and of ordinary documents, give each character's probability after those
 before it, across word boundaries, and back off to shared counts (``kneser_ney``), so that what is rare in both
 weighs the same. The log-likelihoods of both are compared by passages of one to ``PASSAGE`` words, normalised by
-their length in characters (``LEAST`` at least, so that a word of a few letters isn't all). A document is as toxic as its
+their length in characters (``LEAST`` at least, about a word, so that one of two or three letters isn't all). A document is as toxic as its
 most toxic passage, since one insult among thousands of words decides. A logistic curve over that one
 difference, fitted on differences by models that haven't seen the document, turns it into a probability.
 
@@ -24,7 +24,7 @@ from linkwright.llm.common import chunks, ready, spread, table
 from linkwright.llm.labelled import PER_CLASS, Logistic, halves, held_out, sample, weights_for
 
 THRESHOLD = 0.5
-PASSAGE, LEAST = 3, 8
+PASSAGE, LEAST = 3, 6
 #: Log ratios are added as whole numbers of this part of one.
 UNIT = float(1 << 32)
 
