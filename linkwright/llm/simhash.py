@@ -167,23 +167,19 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, n_sections: int
 def joining_links(fps: DataFrame, distance: int = DISTANCE, n_sections: int = 3) -> DataFrame:
     """``fps(fp)``, all different -> (a, b): links that join all that any links join, without all pairs of a family of fingerprints.
 
-    At each anchor the visitors are first compared with the smallest fingerprint at home there alone, and each keeps one link. Then anchors where
-    fingerprints of different components meet are gone through whole; inside a component nothing is left to find.
+    At each anchor the visitors are first compared with the smallest fingerprint at home there alone, and each keeps one link. Then
+    all that meet are compared but for those of one component, where nothing is left to find.
     """
     parts = sections(n_sections, distance)
     homes = lambda df, *more: df.select(F.col("fp").alias("a"), *more, F.explode(F.array(*[s.home(F.col("fp")) for s in parts])).alias("anchor"))
-    hubs = homes(fps).groupBy("anchor").agg(F.min("a").alias("hub"), F.count("*").alias("k"))
-    visits = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*[s.visits(F.col("fp")) for s in parts])).alias("anchor"))
-    met = materialise(visits.join(hubs, "anchor").where("k > 1 OR hub <> b").select("anchor", "b", "hub"), "simhash-met")  # visits to others' homes
-    star = met.where((F.col("hub") != F.col("b")) & (differing("hub", "b") <= distance)).groupBy("b").agg(F.min("hub").alias("a"))
-    star = materialise(star.select("a", "b"), "simhash-star")  # one for each visitor
+    visits = lambda df, *more: df.select(F.col("fp").alias("b"), *more, F.explode(F.concat(*[s.visits(F.col("fp")) for s in parts])).alias("anchor_"))
+    near = (F.col("anchor") == F.col("anchor_")) & (differing("a", "b") <= distance)
+    hubs = homes(fps).groupBy("anchor").agg(F.min("a").alias("a"))
+    star = visits(fps).join(hubs, near & (F.col("a") != F.col("b"))).groupBy("b").agg(F.min("a").alias("a"))
+    star = materialise(star.select("a", "b"), "simhash-star")
     root = connected_components(star).select(F.col("node").alias("fp"), "root")
     rooted = materialise(fps.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    home = homes(rooted, F.col("root").alias("ra"))
-    visit = met.select("anchor", "b").join(rooted.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b")
-    seen = visit.select("anchor", F.col("rb").alias("r")).unionByName(home.select("anchor", F.col("ra").alias("r")))
-    open_ = materialise(seen.groupBy("anchor").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("anchor"), "simhash-open")
-    rest = visit.join(open_, "anchor").join(home, "anchor").where((F.col("ra") < F.col("rb")) & (differing("a", "b") <= distance))
+    rest = visits(rooted, F.col("root").alias("rb")).join(homes(rooted, F.col("root").alias("ra")), near & (F.col("ra") < F.col("rb")))
     return star.unionByName(rest.select("a", "b").distinct())
 
 
