@@ -150,7 +150,7 @@ def anchor_pairs(rows: DataFrame, word: str, carried: list[str], near: Column, p
     side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in carried]
     homes = rows.select(*side("a"), F.explode(F.array(*[s.home(F.col(word)) for s in parts])).alias("home"))
     visitors = rows.select(*side("b"), F.explode(F.concat(*[s.visits(F.col(word)) for s in parts])).alias("visited"))
-    return visitors.join(homes, (F.col("home") == F.col("visited")) & near)
+    return visitors.join(homes.hint("merge"), (F.col("home") == F.col("visited")) & near)  # sizes of exploded tables are underestimated: no broadcast
 
 
 def differing(a: str, b: str) -> Column:
@@ -175,11 +175,12 @@ def joining_links(fps: DataFrame, distance: int = DISTANCE, n_sections: int = 3)
     visits = lambda df, *more: df.select(F.col("fp").alias("b"), *more, F.explode(F.concat(*[s.visits(F.col("fp")) for s in parts])).alias("anchor_"))
     near = (F.col("anchor") == F.col("anchor_")) & (differing("a", "b") <= distance)
     hubs = homes(fps).groupBy("anchor").agg(F.min("a").alias("a"))
-    star = visits(fps).join(hubs, near & (F.col("a") != F.col("b"))).groupBy("b").agg(F.min("a").alias("a"))
+    # Hints: Spark takes an exploded table to be as small as the one before, and would send millions of rows through the driver.
+    star = visits(fps).join(hubs.hint("merge"), near & (F.col("a") != F.col("b"))).groupBy("b").agg(F.min("a").alias("a"))
     star = materialise(star.select("a", "b"), "simhash-star")
     root = connected_components(star).select(F.col("node").alias("fp"), "root")
     rooted = materialise(fps.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    rest = visits(rooted, F.col("root").alias("rb")).join(homes(rooted, F.col("root").alias("ra")), near & (F.col("ra") < F.col("rb")))
+    rest = visits(rooted, F.col("root").alias("rb")).join(homes(rooted, F.col("root").alias("ra")).hint("merge"), near & (F.col("ra") < F.col("rb")))
     return star.unionByName(rest.select("a", "b").distinct())
 
 

@@ -244,6 +244,14 @@ def test_joining_links_join_what_links_do(spark, n_sections):
     assert len(found) < simhash.fingerprint_links(fps, 4, n_sections).count() / 5
 
 
+def test_exploded_anchors_are_not_broadcast(spark):
+    """The stored fingerprints are small enough to broadcast; what is exploded from them isn't."""
+    fps = common.materialise(spark.range(2_000).select(F.xxhash64("id").alias("fp")), "test")
+    for links, key in ((simhash.joining_links(fps), "anchor_"), (simhash.fingerprint_links(fps), "visited")):
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        assert f"SortMergeJoin [{key}" in plan and f"BroadcastHashJoin [{key}" not in plan
+
+
 def test_every_word_is_near_its_home():
     for part in simhash.sections(3) + simhash.sections(2):
         assert sum(map(len, part.patterns())) == len({e for p in part.patterns() for e in p})
