@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linkwright import catalog
 from linkwright.config import Channel, EngineConfig
 from linkwright.operators import blocking, context, decision, evaluate, models, pair_features, sampling, shift, simulate
 from linkwright.plans import linkage
@@ -192,6 +193,20 @@ def test_copies_are_retrieved_by_class(spark, monkeypatch):
     assert seen[0].select("rid").distinct().count() == 8  # four names on two sides
 
 
+@pytest.mark.parametrize("name, scorer", [("rescore_pairs", (blocking, "rescore")), ("weighted_jaccard", (pair_features, "weighted_overlap")), ("soft_tfidf", (pair_features, "weighted_overlap")), ("visible_weights", (pair_features, "weighted_overlap"))])
+def test_copies_of_records_are_scored_once(spark, sf, tmp_path, monkeypatch, name, scorer):
+    """Parts that differ by key alone add pairs to the result, but none that has to be scored."""
+    part = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 60")
+    copies = part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 99 * 1000))  # of the same forms of raw names and addresses
+    spark.read.parquet(f"{sf}/customer.parquet").limit(0).write.parquet(f"{tmp_path}/customer.parquet")
+    seen, own = [], getattr(*scorer)
+    monkeypatch.setattr(*scorer, lambda pairs, *a, **b: seen.append(pairs.count()) or own(pairs, *a, **b))
+    sizes = []
+    copies.write.parquet(f"{tmp_path}/part.parquet")
+    sizes.append(catalog.queries()[name](spark, str(tmp_path)).count())
+    assert seen[0] * 4 <= sizes[0] and sizes[0] > 0
+
+
 def test_retrieval_against_a_loop(spark, records):
     normal = linkage.normalise(records)
     dots = {(r.q, r.p): r.d_gram for r in blocking.dot_products(blocking.tfidf(blocking.long_features(normal, ["gram"]), normal), ["gram"]).collect()}
