@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +110,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Returns what the driver's Python has freed to the system; fits and collected tables leave much of it behind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows evenly to at least as many tasks as there are cores, where the scan made fewer."""
     cores = df.sparkSession.sparkContext.defaultParallelism

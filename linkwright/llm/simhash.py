@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import materialise, ready, spread, table
+from linkwright.llm.common import drop_table, give_back, materialise, ready, spread, table
 from linkwright.llm.graph import connected_components, ranked_components
 
 SEED = 42
@@ -246,17 +246,20 @@ def common_shingles(docs: DataFrame, words: int = SET_WORDS, share: int = SHARE,
 
 
 def shingle_prefixes(docs: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
-    """(doc_id, text_hash, nid, n, weight, prefix): a key of the document's set of shingles, its size, how common they are, and its first shingles, rare ones first.
+    """(doc_id, text_hash, fp, nid, n, weight, prefix): the fingerprint, a key of the document's set of shingles, its size, how common they are, and its first shingles, rare ones first.
 
     The order is that of the counts, then of the hashes. Any order that is the same for all finds every pair; this
     one keeps shingles that many documents share out of the prefixes.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
         for batch in batches:
-            sets = [set_hashes(t.as_py(), words) for t in batch.column(1)]
+            texts = batch.column(1).to_pylist()
+            prints = np.array([fingerprint(shingle_hashes(t)) for t in texts], np.uint64).view(np.int64)
+            sets = [set_hashes(t, words) for t in texts]
             nids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             first, weights = [], []
             for x in sets:
@@ -266,9 +269,9 @@ def shingle_prefixes(docs: DataFrame, similarity: float = SIMILARITY, words: int
                     often = np.where(known[at] == x, counts[at], 0)
                 weights.append(often.sum() / max(1, len(x)))
                 first.append(x[np.argsort(often, kind="stable")[: prefix_length(len(x), similarity)]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nids), pa.array([len(x) for x in sets], pa.int32()), pa.array(weights, pa.float32()), _lists(first)], names=["doc_id", "text_hash", "nid", "n", "weight", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints), pa.array(nids), pa.array([len(x) for x in sets], pa.int32()), pa.array(weights, pa.float32()), _lists(first)], names=["doc_id", "text_hash", "fp", "nid", "n", "weight", "prefix"])
 
-    return spread(docs.select("doc_id", "text", text_hash().alias("text_hash"))).mapInArrow(run, "doc_id long, text_hash long, nid long, n int, weight float, prefix array<long>")
+    return spread(docs.select("doc_id", "text", text_hash().alias("text_hash"))).mapInArrow(run, "doc_id long, text_hash long, fp long, nid long, n int, weight float, prefix array<long>")
 
 
 def could_be(similarity: float, a: str, b: str) -> Column:
@@ -278,14 +281,15 @@ def could_be(similarity: float, a: str, b: str) -> Column:
 
 
 def shared_shingles(nodes: DataFrame) -> DataFrame:
-    """(s, own, hub) of ``nodes(nid, n, weight, prefix)`` for prefix shingles that several sets hold.
+    """(s, own, root, hub, hub_root) of ``nodes(nid, n, weight, prefix, root)`` for prefix shingles that sets of different components hold.
 
     ``own`` and ``hub`` are (weight, nid, n, left): a holder, and the one with the most common shingles; ``left`` counts the shingles
     from this one on. A text that others were made from by changes has nothing of its own, so it is the hub among them.
     """
     one = F.struct("weight", "nid", "n", (F.col("n") - F.col("at")).alias("left"))
-    tokens = nodes.select("nid", "n", "weight", F.posexplode("prefix").alias("at", "s")).select("s", one.alias("own"))
-    groups = tokens.groupBy("s").agg(F.max("own").alias("hub"), F.count("*").alias("holders")).where("holders > 1").select("s", "hub")
+    tokens = nodes.select("nid", "n", "weight", "root", F.posexplode("prefix").alias("at", "s")).select("s", one.alias("own"), "root")
+    top = F.max(F.struct("own", "root")).alias("top")
+    groups = tokens.groupBy("s").agg(top, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s", F.col("top.own").alias("hub"), F.col("top.root").alias("hub_root"))
     return materialise(tokens.join(groups, "s"), "simhash-shared")
 
 
@@ -318,43 +322,62 @@ def texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(rows.select("nid", "text").dropDuplicates(["nid"]), "simhash-texts")  # so that a join by one hub can be split
 
 
+def close_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of ``nodes(nid, fp)``: pairs whose links by fingerprints (``joining_links``) join all that are joined by any."""
+    classes = materialise(nodes.groupBy("fp").agg(F.min("nid").alias("first")), "simhash-prints")
+    links = joining_links(classes.select("fp"), DISTANCE, 3 if classes.count() <= FEW else 2)
+    side = lambda k: classes.select(F.col("fp").alias(f"{k}_fp"), F.col("first").alias(k))
+    linked = links.select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp")).join(side("a"), "a_fp").join(side("b"), "b_fp").select("a", "b")
+    equal = nodes.select("nid", "fp").join(classes, "fp").where("nid <> first").select(F.col("first").alias("a"), F.col("nid").alias("b"))
+    return materialise(linked.unionByName(equal), "simhash-close")
+
+
+def with_roots(rows: DataFrame, links: DataFrame, key: str = "nid", name: str = "root") -> DataFrame:
+    """Adds the root of ``key`` by ``links(a, b)``, itself where it has none."""
+    root = connected_components(links).select(F.col("node").alias(key), F.col("root").alias("_root"))
+    return rows.join(root, key, "left").withColumn(name, F.coalesce("_root", key)).drop("_root")
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
-    """(a, b) of ``nodes(nid, doc_id, text_hash, n, weight, prefix)``: similar sets, and enough of them to join all that are joined by any.
+    """(a, b) of ``nodes(nid, doc_id, text_hash, fp, n, weight, prefix)``: similar sets, and enough of them to join all that are joined by any.
 
-    Two similar sets share a shingle of their prefixes. First each holder of a shingle is compared with the group's hub
-    alone, which joins most of a group of copies by one comparison for each. Then holders that are still in
-    different components are compared, all of them; pairs inside a component have nothing to add.
+    First texts with close fingerprints are found by anchors and compared. What fingerprints don't tell is found by shared
+    shingles, among texts of different components: two similar sets share one of their prefixes. Each holder of a shingle is
+    compared with the group's hub alone, which joins most of a group of copies by one comparison for each. Then holders that are
+    still in different components are compared, all of them; pairs inside a component have nothing to add.
     """
-    shared = shared_shingles(nodes)
-    first = shared.where((F.col("own.nid") != F.col("hub.nid")) & could_be(similarity, "own", "hub")).select(F.col("hub.nid").alias("a"), F.col("own.nid").alias("b"))
+    close = close_pairs(nodes)
+    by_prints = confirmed(close, texts_of(docs, nodes, close), similarity, words)
+    shared = shared_shingles(with_roots(nodes, by_prints))
+    unordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = shared.where((F.col("root") != F.col("hub_root")) & could_be(similarity, "own", "hub")).select(F.col("hub.nid").alias("a"), F.col("own.nid").alias("b"))
     first = materialise(first.distinct(), "simhash-first")
-    links = confirmed(first, texts_of(docs, nodes, first), similarity, words)
+    links = by_prints.unionByName(confirmed(first, texts_of(docs, nodes, first), similarity, words))
 
-    root = connected_components(links).select(F.col("node").alias("nid"), "root")
-    rooted = shared.select("s", "own", F.col("own.nid").alias("nid")).join(root, "nid", "left").select("s", "own", F.coalesce("root", "nid").alias("root"))
-    rooted = materialise(rooted, "simhash-rooted")
+    rooted = materialise(with_roots(shared.select("s", "own", F.col("own.nid").alias("nid")), links).select("s", "own", "root"), "simhash-rooted")
+    drop_table(shared)
     open_ = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
     held = rooted.join(open_, "s")
     side = lambda k: held.select("s", F.col("own").alias(k), F.col("root").alias(f"root_{k}"))
     met = side("x").join(side("y"), "s").where((F.col("root_x") < F.col("root_y")) & could_be(similarity, "x", "y"))
     rest = met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
-    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = materialise(rest, "simhash-rest")
+    rest = materialise(rest.join(unordered(close.unionByName(first)), ["a", "b"], "left_anti"), "simhash-rest")
     return links.unionByName(confirmed(rest, texts_of(docs, nodes, rest), similarity, words))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; of rows equal in id and text, one stays.
 
-    A group are those that share ``similarity`` of their different five-word shingles, also through others. A close fingerprint
-    alone removes nothing: with repeats in it, it may stand for quite another text. Since the search misses no group,
-    it holds all links by fingerprints that the comparison confirms, and no fingerprints are needed. Rows of one id with
+    A group are those that share ``similarity`` of their different five-word shingles, also through others. Close fingerprints
+    are looked for first, but one alone removes nothing: with repeats in it, it may stand for quite another text, so the
+    comparison has to confirm it. Rows of one id with
     different texts are documents of their own: of two that are similar the one with the smaller text hash stays.
     """
     ready(docs.sparkSession)
+    give_back()  # what fits before this stage have left
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     prints = shingle_prefixes(docs, similarity, words)
-    nodes = materialise(prints.groupBy("nid").agg(least, F.any_value("n").alias("n"), F.any_value("weight").alias("weight"), F.any_value("prefix").alias("prefix")).select("nid", "first.doc_id", "first.text_hash", "n", "weight", "prefix"), "simhash-nodes")
+    nodes = materialise(prints.groupBy("nid").agg(least, F.min("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("weight").alias("weight"), F.any_value("prefix").alias("prefix")).select("nid", "first.doc_id", "first.text_hash", "fp", "n", "weight", "prefix"), "simhash-nodes")
     linked = ranked_components(similar_links(docs, nodes, similarity, words), nodes.select("nid", "doc_id"), "nid", "doc_id")
     gone = linked.where(F.col("nid") != F.col("root_key")).select("nid")
     kept = materialise(nodes.join(gone, "nid", "left_anti").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")), "simhash-kept")

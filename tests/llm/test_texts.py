@@ -366,6 +366,22 @@ def test_kept_documents_equal_brute_force(spark):
     assert kept == expected and len(expected) < len(rows_) - 40
 
 
+def test_fingerprints_find_near_duplicates_of_the_pipeline(spark, monkeypatch):
+    """Copies with close fingerprints are found by them, with the search by shared shingles taken away; one alone removes nothing."""
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 600)]
+    bits = lambda own: simhash.fingerprint(simhash.shingle_hashes(" ".join(own)))
+    near = next(o for o in (altered(base, 2, rng, f"o{i}") for i in range(2000)) if 0 < (bits(o) ^ bits(base)).bit_count() <= 4)
+    others = [[f"w{x}" for x in rng.integers(0, 50_000, 100)] for _ in range(5)]
+    repeats = [["these", "five", "words", "come", "back"] * 120 + own for own in others[:2]]
+    texts = [(i, " ".join(own)) for i, own in enumerate([base, near, *others, *repeats], 1)]
+    seen, links, shared = [], simhash.joining_links, simhash.shared_shingles
+    monkeypatch.setattr(simhash, "joining_links", lambda fps, *a: seen.append({r.fp % (1 << 64) for r in fps.collect()}) or links(fps, *a))
+    monkeypatch.setattr(simhash, "shared_shingles", lambda nodes: shared(nodes.limit(0)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert seen == [{bits(t.split()) for _, t in texts}] and kept == {i for i, _ in texts} - {2}
+
+
 def test_repeats_remove_no_other_text(spark):
     rng = np.random.default_rng(9)
     phrase = "these five words come back".split()
