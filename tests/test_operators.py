@@ -193,6 +193,22 @@ def test_copies_are_retrieved_by_class(spark, monkeypatch):
     assert seen[0].select("rid").distinct().count() == 8  # four names on two sides
 
 
+@pytest.mark.parametrize("weights", [1 << 20, 300])
+def test_blocks_in_memory_find_what_the_join_finds(spark, sf, monkeypatch, weights):
+    """Many products are summed by blocks, and no pair but the first of a block is written; ties, asked queries and all channels included."""
+    from linkwright.queries.texts import _records
+
+    own = _records(spark, sf).where("rid < 400")
+    channels = {"name": Channel({"name": 1.0}, 3), "combo": Channel({"name": 0.5, "addr": 0.5}, 4), "gram": Channel({"gram": 1.0}, 1000)}
+    listed = lambda **more: sorted(tuple(round(x, 8) for x in r) for r in blocking.candidates(own, channels, **more).collect())
+    plain, some = listed(), listed(asked=F.col("rid") < 100)
+    monkeypatch.setattr(blocking, "FEW_PRODUCTS", 0)
+    monkeypatch.setattr(blocking, "BLOCK_WEIGHTS", weights)
+    monkeypatch.setattr(blocking, "CELLS", 64)
+    monkeypatch.setattr(blocking, "dot_products", None)  # the join of all products
+    assert listed() == plain and listed(asked=F.col("rid") < 100) == some and 0 < len(some) < len(plain)
+
+
 @pytest.mark.parametrize("name, scorer", [("rescore_pairs", (blocking, "rescore")), ("weighted_jaccard", (pair_features, "weighted_overlap")), ("soft_tfidf", (pair_features, "weighted_overlap")), ("visible_weights", (pair_features, "weighted_overlap"))])
 def test_copies_of_records_are_scored_once(spark, sf, tmp_path, monkeypatch, name, scorer):
     """Parts that differ by key alone add pairs to the result, but none that has to be scored."""
