@@ -168,7 +168,7 @@ def joining_links(fps: DataFrame, distance: int = DISTANCE, n_sections: int = 3)
     """``fps(fp)``, all different -> (a, b): links that join all that any links join, without all pairs of a family of fingerprints.
 
     At each anchor the visitors are first compared with the smallest fingerprint at home there alone, and each keeps one link. Then
-    all that meet are compared but for those of one component, where nothing is left to find.
+    all that meet are compared but for those of one component, and of what is near only a spanning forest is returned (``forest``).
     """
     parts = sections(n_sections, distance)
     homes = lambda df, *more: df.select(F.col("fp").alias("a"), *more, F.explode(F.array(*[s.home(F.col("fp")) for s in parts])).alias("anchor"))
@@ -180,8 +180,83 @@ def joining_links(fps: DataFrame, distance: int = DISTANCE, n_sections: int = 3)
     star = materialise(star.select("a", "b"), "simhash-star")
     root = connected_components(star).select(F.col("node").alias("fp"), "root")
     rooted = materialise(fps.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    rest = visits(rooted, F.col("root").alias("rb")).join(homes(rooted, F.col("root").alias("ra")).hint("merge"), near & (F.col("ra") < F.col("rb")))
-    return star.unionByName(rest.select("a", "b").distinct())
+    hosts = homes(rooted, F.col("root").alias("ra"))
+    # A visitor comes once for each anchor, however many it is near there.
+    guests = visits(rooted, F.col("root").alias("rb")).join(hosts.hint("merge"), near & (F.col("ra") != F.col("rb")), "left_semi")
+    met = guests.select(F.col("anchor_").alias("anchor"), F.col("rb").alias("root"), F.col("b").alias("fp"), F.lit(False).alias("home"))
+    return star.unionByName(forest(met.unionByName(hosts.select("anchor", F.col("ra").alias("root"), F.col("a").alias("fp"), F.lit(True).alias("home"))), distance))
+
+
+def forest(met: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b), near each other, of ``met(anchor, root, fp, home)``: links that join all roots which near ones at an anchor join.
+
+    Of those that meet at an anchor one at least is at home. A task keeps a link only if it joins what its links so far don't, so its
+    links are fewer than the roots that it has seen, however many near pairs a family of fingerprints has; of the tasks' links between
+    two roots one stays. Rows are in total order, so a task that runs again finds the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, int] = {}
+        for anchor, root, fp, home in whole_runs(batches):
+            for own in spanning(anchor, root, fp, home, joined, distance):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in own], names=["ra", "rb", "a", "b"])
+
+    dealt = met.repartition("anchor").sortWithinPartitions("anchor", "root", "fp", "home")
+    found = dealt.mapInArrow(run, "ra long, rb long, a long, b long")
+    return found.groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("link")).select("link.a", "link.b")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by the first of them, cut only where its value changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cut = int(np.searchsorted(own[0], own[0][-1]))
+        if held and (cut or held[-1][0][-1] != own[0][0]):
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in own])]
+            held = []
+        elif cut:
+            yield [c[:cut] for c in own]
+        held.append([c[cut:].copy() for c in own])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def spanning(anchor: np.ndarray, root: np.ndarray, fp: np.ndarray, home: np.ndarray, joined: dict[int, int], distance: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Links (root of a, root of b, a, b; the smaller root first) of whole anchors; ``joined``, roots by root, learns what they join."""
+
+    def top(r: int) -> int:
+        while (up := joined.get(r, r)) != r:
+            joined[r] = joined.get(up, up)
+            r = up
+        return r
+
+    starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    sizes = np.diff(np.r_[starts, len(anchor)])
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    group = np.repeat(np.arange(len(starts)), sizes)
+    hosts = np.flatnonzero(home & mixed[group])
+    ends = np.cumsum(sizes[group[hosts]])
+    low = 0
+    while low < len(hosts):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+        own = hosts[low:high]
+        low, n = high, sizes[group[own]]
+        x = np.repeat(own, n)
+        y = np.arange(n.sum()) + np.repeat(starts[group[own]] - np.cumsum(n) + n, n)
+        near = np.flatnonzero((root[x] != root[y]) & (np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= distance))
+        kept = []
+        for i, j in zip(x[near].tolist(), y[near].tolist()):
+            r, s = top(int(root[i])), top(int(root[j]))
+            if r != s:
+                joined[max(r, s)] = min(r, s)
+                kept.append((i, j) if root[i] < root[j] else (j, i))
+        if kept:
+            a, b = np.array(kept).T
+            yield root[a], root[b], fp[a], fp[b]
 
 
 def components_of(prints: DataFrame, distance: int = DISTANCE, n_sections: int | None = None) -> DataFrame:
@@ -332,27 +407,32 @@ def close_pairs(nodes: DataFrame) -> DataFrame:
     return materialise(linked.unionByName(equal), "simhash-close")
 
 
-def with_roots(rows: DataFrame, links: DataFrame, key: str = "nid", name: str = "root") -> DataFrame:
-    """Adds the root of ``key`` by ``links(a, b)``, itself where it has none."""
-    root = connected_components(links).select(F.col("node").alias(key), F.col("root").alias("_root"))
-    return rows.join(root, key, "left").withColumn(name, F.coalesce("_root", key)).drop("_root")
+def stars(links: DataFrame) -> DataFrame:
+    """``links(a, b)`` as one link from the root of each component to each of its other nodes."""
+    return connected_components(links).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
+def with_roots(rows: DataFrame, star: DataFrame) -> DataFrame:
+    """Adds the root of ``nid`` by ``stars``, itself where it has none."""
+    return rows.join(star.select(F.col("b").alias("nid"), F.col("a").alias("_root")), "nid", "left").withColumn("root", F.coalesce("_root", "nid")).drop("_root")
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
-    """(a, b) of ``nodes(nid, doc_id, text_hash, fp, n, weight, prefix)``: similar sets, and enough of them to join all that are joined by any.
+    """(a, b) of ``nodes(nid, doc_id, text_hash, fp, n, weight, prefix)``: links that join all sets that are joined by any similar ones, and no others.
 
     First texts with close fingerprints are found by anchors and compared. What fingerprints don't tell is found by shared
     shingles, among texts of different components: two similar sets share one of their prefixes. Each holder of a shingle is
     compared with the group's hub alone, which joins most of a group of copies by one comparison for each. Then holders that are
-    still in different components are compared, all of them; pairs inside a component have nothing to add.
+    still in different components are compared, all of them; pairs inside a component have nothing to add, so of what is known by
+    then only stars are carried on.
     """
     close = close_pairs(nodes)
-    by_prints = confirmed(close, texts_of(docs, nodes, close), similarity, words)
-    shared = shared_shingles(with_roots(nodes, by_prints))
+    links = stars(confirmed(close, texts_of(docs, nodes, close), similarity, words))
+    shared = shared_shingles(with_roots(nodes, links))
     unordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = shared.where((F.col("root") != F.col("hub_root")) & could_be(similarity, "own", "hub")).select(F.col("hub.nid").alias("a"), F.col("own.nid").alias("b"))
     first = materialise(first.distinct(), "simhash-first")
-    links = by_prints.unionByName(confirmed(first, texts_of(docs, nodes, first), similarity, words))
+    links = stars(links.unionByName(confirmed(first, texts_of(docs, nodes, first), similarity, words)))
 
     rooted = materialise(with_roots(shared.select("s", "own", F.col("own.nid").alias("nid")), links).select("s", "own", "root"), "simhash-rooted")
     drop_table(shared)

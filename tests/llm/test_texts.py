@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,46 @@ def test_joining_links_join_what_links_do(spark, n_sections):
     assert len(found) < simhash.fingerprint_links(fps, 4, n_sections).count() / 5
 
 
+def test_links_of_a_family_grow_with_its_size(spark, monkeypatch):
+    """Fingerprints that differ by pairs of sixteen bits, no hub near all: many times as many near pairs as links, stored ones too."""
+    monkeypatch.setattr(simhash, "connected_components", lambda links: graph.connected_components(links.limit(0)))  # the stars join nothing
+    family = [sum(1 << 4 * i for i in range(16) if m >> i & 1) for m in range(1 << 16) if m.bit_count() == 2]
+    signed = [x - (1 << 64) if x >> 63 else x for x in family]
+    fps = spark.createDataFrame([(x,) for x in signed], "fp long")
+    found = [(r.a, r.b) for r in simhash.joining_links(fps).collect()]
+    assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4 for a, b in found)
+    root = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert len(set(root.values())) == 1 and len(root) == len(family)
+    assert simhash.fingerprint_links(fps).count() == 120 * 119 // 2 and len(found) < 10 * len(family)
+
+
+def test_a_task_keeps_a_forest():
+    """Groups cut by batches of any size; each link joins what those before it didn't."""
+    rng = np.random.default_rng(4)
+    bits = [1 << int(b) for b in rng.permutation(64)[:12]]
+    met = sorted((a, r, r, bool(h)) for a in range(6) for r, h in {sum(b for b in bits if rng.random() < 0.2): rng.random() < 0.5 for _ in range(40)}.items() if r < 1 << 63)
+    near = {(r, s) for a, r, _, h in met for b, s, _, _ in met if a == b and h and r != s and (r ^ s).bit_count() <= 4}
+    expected = brute_links({r for _, r, _, _ in met}, near)
+    for size in (1, 3, 17, len(met)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*met[i : i + size])], names=["anchor", "root", "fp", "home"]) for i in range(0, len(met), size)]
+        joined, links = {}, []
+        for own in simhash.whole_runs(iter(batches)):
+            for ra, rb, a, b in simhash.spanning(*own, joined, 4):
+                assert (ra < rb).all()
+                links += zip(a.tolist(), b.tolist())
+        assert all((a ^ b).bit_count() <= 4 for a, b in links)
+        assert brute_links({r for _, r, _, _ in met}, links) == expected and len(links) == len(expected) - len(set(expected.values()))
+
+
+def brute_links(nodes, links):
+    """Smallest node that each reaches."""
+    root = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def test_exploded_anchors_are_not_broadcast(spark):
     """The stored fingerprints are small enough to broadcast; what is exploded from them isn't."""
     fps = common.materialise(spark.range(2_000).select(F.xxhash64("id").alias("fp")), "test")
