@@ -193,3 +193,43 @@ def test_scores_come_back_by_key(spark):
     back = readers.read_scores(spark, path, scored.select("q", "p").orderBy(F.desc("q")), "p2")
     assert {(r.q, r.p, r.p2) for r in back.collect()} == {(1, 2, 0.5), (3, 4, 0.25)}
     assert EngineConfig().source("train", 1).endswith("train_source1.tsv")
+
+
+def test_labels_come_from_keys_without_a_list_of_true_pairs(spark):
+    records = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, ""), (4, ""), (5, None), (6, "abd")], "rid long, k string")
+    pairs = spark.createDataFrame([(1, 2), (1, 6), (3, 4), (5, 2), (1, 4)], "q long, p long")
+    assert {(r.q, r.p): r.y for r in blocking.label_same(pairs, records, F.col("k")).collect()} == {(1, 2): 1, (1, 6): 0, (3, 4): 0, (5, 2): 0, (1, 4): 0}
+
+
+@pytest.mark.parametrize("name", ["encoder_scores", "encoder_gates"])
+def test_encoders_describe_no_pairs(spark, sf, name, monkeypatch):
+    from linkwright.queries import suites as own
+
+    def refuse(*_, **__):
+        raise AssertionError("features are made that nothing reads, or true pairs listed")
+
+    monkeypatch.setattr(linkage, "describe", refuse)
+    monkeypatch.setattr(blocking, "label_pairs", refuse)
+    assert own.QUERIES[name](spark, sf).count() > 0
+
+
+def test_equal_texts_are_scored_once(spark):
+    texts = spark.createDataFrame([(i, "same" if i % 2 else "other") for i in range(40)], "rid long, text string")
+    pairs = spark.createDataFrame([(i, 39 - i, "A") for i in range(40)], "q long, p long, half string").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def scorer(own):
+        seen.add(len(own))
+        return [float(len(a)) for a, _ in own]
+
+    found = {r.q: r.ce_logit for r in models.second_scores(pairs, texts, {"A": scorer}).collect()}
+    assert found == {i: 4.0 if i % 2 else 5.0 for i in range(40)} and seen.value < 40
+
+
+def test_texts_are_normalised_once_with_the_same_columns(spark):
+    rows = [(i, "us", i % 2 == 0, 1, n, a) for i, (n, a) in enumerate([("Red Fox Ltd.", "12b Main St"), ("Red Fox Ltd.", ""), ("", "12b Main St"), (None, None), ("Café Élan", "n/a"), (None, "x")] * 3)]
+    records = spark.createDataFrame(rows, "rid long, country string, is_query boolean, src int, name string, address string")
+    plain, once = linkage.normalise(records), linkage.normalise_once(records)
+    assert set(once.columns) == set(plain.columns)
+    listed = lambda df: df.select(*plain.columns).orderBy("rid").collect()
+    assert listed(once) == listed(plain)
