@@ -233,3 +233,16 @@ def test_texts_are_normalised_once_with_the_same_columns(spark):
     assert set(once.columns) == set(plain.columns)
     listed = lambda df: df.select(*plain.columns).orderBy("rid").collect()
     assert listed(once) == listed(plain)
+
+
+def test_gates_read_scores_once(spark, candidates):
+    rows, _ = candidates
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def logit(y):
+        seen.add(1)
+        return 2.0 * y - 1
+
+    assert pair_encoder.gates(rows.withColumn("ce_logit", logit("y")).withColumn("prob", F.lit(0.5))).count() == 3
+    assert seen.value == 160
