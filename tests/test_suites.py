@@ -246,3 +246,14 @@ def test_gates_read_scores_once(spark, candidates):
 
     assert pair_encoder.gates(rows.withColumn("ce_logit", logit("y")).withColumn("prob", F.lit(0.5))).count() == 3
     assert seen.value == 160
+
+
+def test_stored_records_are_not_broadcast_to_pairs(spark, sf):
+    from linkwright.operators import pair_features
+    from linkwright.queries import raw
+
+    records = stage(raw.normal_records(spark, sf), "raw-records")
+    pairs = stage(records.select(F.col("rid").alias("q"), (F.col("rid") + 1).alias("p"), F.lit(0.9).alias("prob")), "pairs")
+    texts = records.select("rid", F.col("n_core").alias("text"))
+    for df in (pair_features.pair_features(pairs, records), pair_features.number_features(pairs, records), models.second_scores(pairs.withColumn("half", F.lit("A")), texts, {"A": len})):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
