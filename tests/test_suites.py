@@ -257,3 +257,12 @@ def test_stored_records_are_not_broadcast_to_pairs(spark, sf):
     texts = records.select("rid", F.col("n_core").alias("text"))
     for df in (pair_features.pair_features(pairs, records), pair_features.number_features(pairs, records), models.second_scores(pairs.withColumn("half", F.lit("A")), texts, {"A": len})):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_link_stores_no_texts_that_no_channel_reads(spark, monkeypatch):
+    records = spark.createDataFrame([(1, "us", True, 1, "red fox", "12 main st"), (2, "us", False, 2, "red fox", "12 main st"), (3, "us", False, 2, "blue owl", "")], "rid long, country string, is_query boolean, src int, name string, address string")
+    stored = {}
+    monkeypatch.setattr(linkage, "stage", lambda df, name: stored.setdefault(name, df.columns) and stage(df, name))
+    sets = linkage.link(records, {"name": Channel({"name": 1.0}, 3)}, lambda x: x.select("q", "p")).collect()
+    assert [(r.q, list(r.ps)) for r in sets] == [(1, [2])]
+    assert set(stored["normal"]) == {"rid", "country", "is_query", *blocking.INPUT["name"]}
