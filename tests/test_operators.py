@@ -223,6 +223,34 @@ def test_copies_of_records_are_scored_once(spark, sf, tmp_path, monkeypatch, nam
     assert seen[0] * 4 <= sizes[0] and sizes[0] > 0
 
 
+@pytest.mark.parametrize("clashes", [0, 1])
+def test_no_row_for_a_feature_is_dealt_out(spark, sf, monkeypatch, clashes):
+    """Blocks count and weigh features in packed lists; where two features have one hash, another seed is taken."""
+    from linkwright.queries.texts import _records
+
+    own, channels = _records(spark, sf).where("rid < 200"), {"name": Channel({"name": 1.0}, 3), "mix": Channel({"gram": 0.5, "addr": 0.5}, 3)}
+    listed = lambda: sorted(tuple(round(x, 8) for x in r) for r in blocking.candidates(own, channels).collect())
+    plain, hashed, seeds = listed(), blocking.hashed_features, []
+
+    def coarse(records, bases, seed):
+        seeds.append(seed)
+        rows = hashed(records, bases, seed)
+        return rows.withColumn("h", F.transform("h", lambda h: F.pmod(h, F.lit(97)))) if seed < clashes else rows
+
+    monkeypatch.setattr(blocking, "FEW_PRODUCTS", 0)
+    monkeypatch.setattr(blocking, "long_features", None)  # a row for each feature of each record
+    monkeypatch.setattr(blocking, "hashed_features", coarse)
+    assert listed() == plain and set(seeds) == set(range(clashes + 1))
+
+
+def test_parts_of_an_address_are_in_the_whole(spark):
+    from linkwright.functions.addresses import address_columns, address_parts
+
+    raw = ["", "12b Rue de la Paix, 007", "n/a, Near Market Road", "Twelfth Floor, Block c7 & North", "Château d'Or,, PO Box 42", "the of la", None]
+    own = address_columns(spark.createDataFrame([(x,) for x in raw], "raw string"), "raw").select("a_norm", "a_words", "a_nums")
+    assert own.withColumns(address_parts()).collect() == own.collect()
+
+
 def test_retrieval_against_a_loop(spark, records):
     normal = linkage.normalise(records)
     dots = {(r.q, r.p): r.d_gram for r in blocking.dot_products(blocking.tfidf(blocking.long_features(normal, ["gram"]), normal), ["gram"]).collect()}
