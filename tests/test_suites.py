@@ -266,3 +266,29 @@ def test_link_stores_no_texts_that_no_channel_reads(spark, monkeypatch):
     sets = linkage.link(records, {"name": Channel({"name": 1.0}, 3)}, lambda x: x.select("q", "p")).collect()
     assert [(r.q, list(r.ps)) for r in sets] == [(1, [2])]
     assert set(stored["normal"]) == {"rid", "country", "is_query", *blocking.INPUT["name"]}
+
+
+def test_pairs_are_described_by_slices(spark, sf, monkeypatch):
+    """No row for a token of a pair; slices give what one pass gives, and the features are stored once more only."""
+    from linkwright.operators import pair_features
+    from linkwright.queries.suites import _raw_pairs
+
+    normal, pairs = _raw_pairs(spark, sf)
+    pairs = stage(pairs.withColumn("s", F.pmod(F.col("q") * F.col("p"), F.lit(7)) / 7.0).withColumns({"y": F.lit(1), "fold": F.pmod("q", F.lit(5)).cast("int")}), "pairs")
+    weighed = pair_features.weighted_overlap(pairs, normal, "n_core", pair_features.country_idf(normal, "n_core"), soft=True)
+    assert "Generate" not in weighed._jdf.queryExecution().executedPlan().toString()
+    listed = lambda df: sorted(tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in df.collect())
+    whole = listed(linkage.describe(pairs, normal, ["s"]))
+    monkeypatch.setattr(linkage, "SLICE", 1 + len(whole) // 3)
+    described = linkage.describe(pairs, normal, ["s"])
+    assert listed(described) == whole and len(whole) == pairs.count() > 20
+    stored = {}
+    monkeypatch.setattr(linkage, "stage", lambda df, name: stored.setdefault(name, df.columns) and stage(df, name))
+
+    class Even:
+        def fit(self, rows, features):
+            assert "q" not in features and len(features) > 70
+            return lambda df: df.withColumn("prob", F.lit(0.5))
+
+    assert linkage.matcher(described, normal, Even(), Even()).count() == len(whole)
+    assert stored["staged"] == ["q", "p", "prob"]
